@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             pairs = met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "sig_a", "sig_b")
             pairs = materialize(pairs.where(distance("sig_a", "sig_b") <= MAX_DISTANCE).select("a", "b").distinct())
         tried = pairs
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
         texts = source.join(ids, "id", "left_semi")
         found = materialize(
             pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import neardup, quality
+from growthlens.llm import langid, neardup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def _fold(doc_id: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold("doc_id", 4, 2))
+    model = langid.fit(docs.where("doc_id is not null and not held_out"))
+    return langid.identify(docs, model).withColumn("held_out", _fold("doc_id", 4, 2)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -28,7 +34,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality_rules, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_language_id, op9_quality_rules, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
+from growthlens.llm.tables import small_batches
 
 DIMENSIONS = 1 << 14
 #: Documented bound on the labelled rows that the weights are fitted on, and on the bytes of their texts.
@@ -198,6 +199,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     `sample_rows` rows by `order` (a hash of the row's text and label unless
     given), of texts of at most `sample_bytes / sample_rows * 16` bytes each.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"), (F.xxhash64(text_col, label_col) if order is None else order).alias("o"))
     df = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     total = df.pop(-1, 0)
@@ -218,5 +220,6 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, lang_pred, score for each row of `docs`."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(lambda it: _predict(it, model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
-from growthlens.llm.tables import discard, materialize
+from growthlens.llm.tables import discard, materialize, small_batches
 
 SYMBOLS = 64
 #: Chunks of the signature; with MAX_DISTANCE they leave one error a chunk to enumerate.
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     five-word shingles. A row with a null id keeps it, and is its own component.
     Ids are taken to be unique but for repeated rows.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = materialize(source.mapInArrow(_profiles, "id long, n_shingles long, set_hash binary, sig array<long>"))
     filled = profiles.where("n_shingles > 0 and id is not null")

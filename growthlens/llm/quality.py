@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
+from growthlens.llm.tables import small_batches
 
 MIN_WORDS = 10
 MAX_REPEAT = 20
@@ -168,6 +169,7 @@ def _rows(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Figures and verdict of each row of `docs` and, if asked for, its text without the dropped lines."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = _SCHEMA + (", clean_text string" if with_text else "")
     return source.mapInArrow(lambda it: _rows(it, with_text), schema).withColumnRenamed("id", id_col)

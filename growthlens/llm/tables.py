@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small next to a worker's memory, unless the session has limits of its own."""
+    for key, usual, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", small)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once, written to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/growthlens-{uuid.uuid4().hex}"

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
+from growthlens.llm.tables import small_batches
 
 DIMENSIONS = 1 << 18
 #: Documented bounds of the labelled sample.
@@ -280,6 +281,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[p
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_text: int = SAMPLE_TEXT) -> Model | None:
     """A model of the rows of `labels`, which has one row for each labelled id; None without both kinds."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     picks = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(n) for kind, n in ((1, sample_toxic), (0, sample_clean))]
     sample = picks[0].unionByName(picks[1]).dropDuplicates(["id"])  # bounded by its limits, so it may be broadcast
@@ -295,6 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns id, score, predicted, spans for each row of `docs`."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "id long, score double, predicted int, spans array<struct<start: long, end: long>>"

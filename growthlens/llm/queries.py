@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import chat, langid, mixing, neardup, pieces, quality, sharding, toxicity
+from growthlens.llm import chat, langid, media, mixing, neardup, pieces, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.texts_as_media(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = _fold("doc_id", 5, 0)
@@ -70,7 +74,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_hilbert_sharding, op4_sentencepiece, op5_toxicity, op7_source_mixing, op8_chat_format, op9_quality_rules, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_language_id, op2_hilbert_sharding, op3_media_columns, op4_sentencepiece, op5_toxicity, op7_source_mixing, op8_chat_format, op9_quality_rules, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import chat, langid, media, mixing, neardup, pieces, quality, sharding, toxicity
+from growthlens.llm import chat, langid, media, mixing, neardup, pieces, quality, sharding, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -74,7 +78,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_hilbert_sharding, op3_media_columns, op4_sentencepiece, op5_toxicity, op7_source_mixing, op8_chat_format, op9_quality_rules, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_language_id, op2_hilbert_sharding, op3_media_columns, op4_sentencepiece, op5_toxicity, op6_suffix_dedup, op7_source_mixing, op8_chat_format, op9_quality_rules, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -352,7 +352,7 @@ def _steps(length: int, gram: int) -> list[tuple[int, int]]:
     return out
 
 
-def _strip(batches: Iterator[pa.RecordBatch], whole_characters: bool, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _strip(batches: Iterator[pa.RecordBatch], whole_characters: bool, with_text: bool, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
             part = batch.slice(a, b - a)
@@ -381,7 +381,8 @@ def _strip(batches: Iterator[pa.RecordBatch], whole_characters: bool, with_text:
                 rows.append((len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest.decode() if with_text else None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            kept = [part.column(f"keep_{c}") for c in keep]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *kept], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(f"keep_{c}" for c in keep)])
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
@@ -420,16 +421,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, with_text: bool = False, gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
-    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text if asked for.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, with_text: bool = False, keep: tuple[str, ...] = (), gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
+    """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text if asked for, and keep_<column> for each column of `keep`.
 
     With `whole_characters` a character is removed only if all its bytes are covered.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.lit(0).cast("long")).alias("key"), F.xxhash64("text").alias("nth"), "text")
-    spans = repeated_spans(rows, length, gram, many, limit)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = rows.select("id", F.coalesce("id", F.lit(0).cast("long")).alias("key"), F.xxhash64("text").alias("nth"), "text", *(f"keep_{c}" for c in keep))
+    spans = repeated_spans(rows.select("key", "nth", "text"), length, gram, many, limit)
     joined = rows.join(spans, ["key", "nth"], "left")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    out = joined.mapInArrow(lambda it: _strip(it, whole_characters, with_text), schema).drop(*([] if with_text else ["kept_text"]))
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = joined.mapInArrow(lambda it: _strip(it, whole_characters, with_text, keep), schema).drop(*([] if with_text else ["kept_text"]))
     return out.withColumnRenamed("id", id_col)

@@ -255,7 +255,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model | None, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
             part = batch.slice(a, b - a)
@@ -276,7 +276,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[p
                     else:
                         spans[d].append({"start": lo, "end": hi, "token": t})
             found = [[{"start": s["start"], "end": s["end"]} for s in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, _SPANS)], names=["id", "score", "predicted", "spans"])
+            kept = [part.column(f"keep_{c}") for c in keep]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, _SPANS), *kept], names=["id", "score", "predicted", "spans", *(f"keep_{c}" for c in keep)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_text: int = SAMPLE_TEXT) -> Model | None:
@@ -296,9 +297,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns id, score, predicted, spans for each row of `docs`."""
+    """Columns id, score, predicted, spans and keep_<column> for each row of `docs` and column of `keep`."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "id long, score double, predicted int, spans array<struct<start: long, end: long>>"
-    return source.mapInArrow(lambda it: _score(it, shared.value), schema).withColumnRenamed("id", id_col)
+    schema = "id long, score double, predicted int, spans array<struct<start: long, end: long>>" + "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(lambda it: _score(it, shared.value, keep), schema).withColumnRenamed("id", id_col)
+
+
+def reject(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, in their own columns."""
+    scored = score(docs, model, id_col, text_col, keep=tuple(docs.columns))
+    return scored.where("predicted = 0").select(*(F.col(f"keep_{c}").alias(c) for c in docs.columns))

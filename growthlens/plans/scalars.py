@@ -41,15 +41,15 @@ def name_lookup(t: Tables) -> DataFrame:
 
 
 @query("""WITH z AS (SELECT c_custkey, c_acctbal / 4000 AS x FROM customer)
-SELECT c_custkey, round(1 / (1 + exp(-x)), 6) AS p, round(CASE WHEN x < 1 THEN ln(1 - x) END, 6) AS left_log, round(CASE WHEN x > -1 THEN ln(1 + x) END, 6) AS log1p, round(0.5 + x * (0.25 + x * -0.125), 6) AS poly,
-round((x + 0.5) / 3, 6) AS scaled, round(0.2 + (least(greatest(x, 1.0), 3.0) - 1) / 2 * 0.8, 6) AS alpha FROM z""")
+SELECT c_custkey, round(1 / (1 + exp(-x)), 10) AS p, round(CASE WHEN x < 1 THEN ln(1 - x) END, 10) AS left_log, round(CASE WHEN x > -1 THEN ln(1 + x) END, 10) AS log1p, round(0.5 + x * (0.25 + x * -0.142857142857), 10) AS poly,
+round((x + 0.5) / 3, 10) AS scaled, round(0.2 + (least(greatest(x, 1.0), 3.0) - 1) / 2 * 0.8, 10) AS alpha FROM z""")
 def transforms(t: Tables) -> DataFrame:
     """E12, E13, E14."""
     x = F.col("c_acctbal") / 4000
     lit = F.lit
     return t.customer.select(
-        "c_custkey", F.round(S.invlogit(x), 6).alias("p"), F.round(S.log_share_left(x), 6).alias("left_log"), F.round(F.when(x > -1, F.log1p(x)), 6).alias("log1p"),
-        F.round(S.polynomial(x, [lit(0.5), lit(0.25), lit(-0.125)]), 6).alias("poly"), F.round(S.min_max(x, lit(-0.5), lit(2.5)), 6).alias("scaled"), F.round(S.opacity(x), 6).alias("alpha"))
+        "c_custkey", F.round(S.invlogit(x), 10).alias("p"), F.round(S.log_share_left(x), 10).alias("left_log"), F.round(F.when(x > -1, F.log1p(x)), 10).alias("log1p"),
+        F.round(S.polynomial(x, [lit(0.5), lit(0.25), lit(-0.142857142857)]), 10).alias("poly"), F.round(S.min_max(x, lit(-0.5), lit(2.5)), 10).alias("scaled"), F.round(S.opacity(x), 10).alias("alpha"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + l_linenumber AS total, round(l_quantity / (l_quantity + l_linenumber), 8) AS share, CAST(round_even(l_extendedprice, 0) AS INT) AS metres, least(l_quantity / 30, 1.0) AS capped, coalesce(nullif(l_tax, 0), l_discount, 0) AS first_known,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once, written to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/growthlens-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # The rows are written, so what was shuffled for them can go; Spark drops the files of plans that are collected as garbage.
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._growthlens_path = path
     return kept

@@ -69,7 +69,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
         return none, none, none.astype(np.uint64), none, none
     prefix = T.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
-    hashes = T.mix((prefix[gram:] - prefix[:-gram]) * T.powers(len(at), inverse=True))
+    hashes = (prefix[gram:] - prefix[:-gram]) * T.powers(len(at), inverse=True)
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(29)
     bits = np.uint64(max(1, int(len(at)).bit_length()))
     place = np.uint64((1 << int(bits)) - 1)
     least = _least(hashes & ~place | at.astype(np.uint64), length - gram + 1)
@@ -150,80 +152,80 @@ class Shard:
         self.common = self._kasai()
 
     def _sort(self) -> np.ndarray:
-        """Larsson-Sadakane: ranks by 7 bytes, then twice as deep each round, only where ranks still tie.
+        """Larsson-Sadakane: ranks by 5 bytes, then twice as deep each round, only where ranks still tie.
 
         A context ends before every byte, so a suffix cut short never ties with a longer one.
         """
         n = len(self.data)
         if n >= 1 << int(_HALF):
             raise ValueError("a shard must have fewer than 2**20 bytes")
-        short = np.minimum(self.left, 7).astype(np.uint64)
-        known = ~np.uint64(0) << np.uint64(8) * (np.uint64(8) - short)
-        start = self.words & known | short
-        order = np.argsort(start, kind="stable")
+        short = np.minimum(self.left, 5).astype(np.uint64)
+        known = self.words >> np.uint64(8) * (np.uint64(8) - short) << np.uint64(8) * (np.uint64(5) - short)
+        # Five bytes, how many of them there are and whether more follow, and the place: one number, sorted as such.
+        more = np.minimum(self.left, 6).astype(np.uint64)
+        start = np.sort(((known << np.uint64(3) | more) << _HALF) | np.arange(n, dtype=np.uint64))
+        order = (start & np.uint64((1 << int(_HALF)) - 1)).astype(np.int64)
         rank = np.zeros(n, np.uint64)
-        key = start[order]
+        key = start >> _HALF
         new = np.ones(n, bool)
         new[1:] = key[1:] != key[:-1]
         group = np.flatnonzero(new)
         rank[order] = np.repeat(group, np.diff(np.append(group, n))).astype(np.uint64)
-        depth = 7
+        size = np.diff(np.append(group, n))
+        tied = order[np.repeat(size > 1, size)]  # in order of rank
+        depth = 5
         low = np.uint64((1 << int(_HALF)) - 1)
-        deepest = int(self.left.max(initial=0))
-        while depth < deepest and len(group) < n:
-            step = depth
-            size = np.diff(np.append(group, n))
-            tied = order[np.repeat(size > 1, size)]  # in order of rank
-            second = np.where(self.left[tied] > depth, rank[np.minimum(tied + step, n - 1)] + np.uint64(1), np.uint64(0))
-            packed = np.sort(rank[tied] << (_HALF * np.uint64(2)) | second << _HALF | tied.astype(np.uint64))
+        while True:
+            # Suffixes that end within the depth and still tie are equal: only the others are refined.
+            tied = tied[self.left.take(tied) > depth]
+            if not len(tied):
+                return order
+            packed = np.sort(rank.take(tied) << (_HALF * np.uint64(2)) | (rank.take(tied + depth) + np.uint64(1)) << _HALF | tied.astype(np.uint64))
             tied = (packed & low).astype(np.int64)
             pair = packed >> _HALF
             fresh = np.ones(len(tied), bool)
             fresh[1:] = pair[1:] != pair[:-1]
-            old = (pair >> _HALF).astype(np.int64)
             # Members of a tie take the places from its rank on, in their new order.
+            old = (pair >> _HALF).astype(np.int64)
             head = np.ones(len(tied), bool)
             head[1:] = old[1:] != old[:-1]
-            place = np.arange(len(tied)) - np.maximum.accumulate(np.where(head, np.arange(len(tied)), 0)) + old
+            head = np.flatnonzero(head)
+            place = np.arange(len(tied)) + np.repeat(old[head] - head, np.diff(np.append(head, len(tied))))
             order[place] = tied
-            settled = np.maximum.accumulate(np.where(fresh, place, 0))
-            rank[tied] = settled.astype(np.uint64)
-            group = np.flatnonzero(rank[order] == np.arange(n).astype(np.uint64))
-            depth += step
-        return order
+            group = np.flatnonzero(fresh)
+            size = np.diff(np.append(group, len(tied)))
+            rank[tied] = np.repeat(place[group], size).astype(np.uint64)
+            tied = tied[np.repeat(size > 1, size)]
+            depth *= 2
 
     def _kasai(self) -> np.ndarray:
-        """Common prefix of each suffix with the one before it in order.
+        """Common prefix of each whole window's suffix with the one before it in order; 0 elsewhere.
 
         Kasai's rule, that the prefix shrinks by one at most from a place to the next, is
-        run through many stretches of the text side by side, eight bytes a comparison.
+        run through all contexts side by side, eight bytes a comparison.
         """
         n = len(self.data)
         before = np.full(n, -1)
         before[self.order[1:]] = self.order[:-1]
         out = np.zeros(n, np.int64)
-        lanes = max(1, min(4096, n // 64))
-        span = -(-n // lanes)
-        start = np.arange(lanes) * span
-        h = np.zeros(lanes, np.int64)
-        for t in range(span):
-            i = start + t
-            live = i < n
-            i = np.where(live, i, 0)
+        h = np.zeros(len(self.lead) - 1, np.int64)
+        size = np.diff(self.lead)
+        lanes = np.flatnonzero(size >= self.length)
+        for t in range(int(size.max(initial=0)) - self.length + 1):
+            lanes = lanes[size[lanes] - t >= self.length]
+            i = self.lead[lanes] + t
             j = before[i]
-            live &= j >= 0
-            limit = np.where(live, np.minimum(self.left[i], self.left[j]), 0)
-            h = np.minimum(np.maximum(h - 1, 0), limit)
-            busy = np.flatnonzero(h < limit)
+            limit = np.where(j >= 0, np.minimum(self.left[i], self.left[j]), 0)
+            now = np.minimum(np.maximum(h[lanes] - 1, 0), limit)
+            busy = np.flatnonzero(now < limit)
             while len(busy):
-                x = self.words[i[busy] + h[busy]] ^ self.words[j[busy] + h[busy]]
+                x = self.words[i[busy] + now[busy]] ^ self.words[j[busy] + now[busy]]
                 # Leading equal bytes: a float's exponent finds the highest bit set.
                 same = np.where(x == 0, 8, (63 - (np.frexp((x >> np.uint64(11)).astype(np.float64))[1] + 10)) >> 3)
                 same = np.where((x != 0) & (x >> np.uint64(11) == 0), 6 + (x < 256), same)
-                h[busy] = np.minimum(h[busy] + same, limit[busy])
-                busy = busy[(same == 8) & (h[busy] < limit[busy])]
-            real = start + t < n
-            out[(start + t)[real]] = h[real]
+                now[busy] = np.minimum(now[busy] + same, limit[busy])
+                busy = busy[(same == 8) & (now[busy] < limit[busy])]
+            h[lanes] = out[i] = now
         return out
 
     def repeated(self) -> np.ndarray:

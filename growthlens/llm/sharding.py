@@ -92,15 +92,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", **names: str) -> DataFrame:
-    """Writes `docs` to `path/shard=k`, each shard in slot order, and returns what a reader prunes by.
+    """Writes `docs` to `path/hilbert_shard=k`, each shard in slot order, and returns what a reader prunes by.
 
     The result has a row a shard: rows, bytes, and the least and greatest of every
     metadata column. Ids must be unique here, as they tie rows to their places.
     """
-    spots = assign(docs, shards, id_col=id_col, **names).select(id_col, "shard", "slot", "size")
-    out = docs.join(spots, id_col).repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    spots = assign(docs, shards, id_col=id_col, **names).select(F.col(id_col).alias("hilbert_id"), F.col("shard").alias("hilbert_shard"), F.col("slot").alias("hilbert_slot"), F.col("size").alias("hilbert_size"))
+    out = docs.join(spots, docs[id_col].eqNullSafe(spots["hilbert_id"])).drop("hilbert_id").repartition(shards, "hilbert_shard").sortWithinPartitions("hilbert_shard", "hilbert_slot")
+    out.write.mode("overwrite").partitionBy("hilbert_shard").parquet(path)
     back = docs.sparkSession.read.parquet(path)
     plain = [c for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp") and c != names.get("text_col", "text")]
     ranges = [f(c).alias(f"{f.__name__}_{c}") for c in plain for f in (F.min, F.max)]
-    return back.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ranges)
+    return back.groupBy("hilbert_shard").agg(F.count("*").alias("hilbert_rows"), F.sum("hilbert_size").alias("hilbert_bytes"), *ranges)

@@ -35,10 +35,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Documents of no words stay once where their source is taken whole."""
-    key = [F.col("doc_id").alias("of"), F.col("source").alias("from"), F.col("text_crc32").alias("crc"), "copies"]
-    taken = mixing.mix(docs).where("copies > 0").select(*key).distinct()
-    same = docs["doc_id"].eqNullSafe(taken["of"]) & docs["source"].eqNullSafe(taken["from"]) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == taken["crc"])
-    return docs.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_crc32").alias("_mix_crc"), F.col("copies").alias("_mix_copies")).distinct()
+    same = docs["doc_id"].eqNullSafe(taken["_mix_id"]) & docs["source"].eqNullSafe(taken["_mix_source"]) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == taken["_mix_crc"])
+    copied = docs.join(taken, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    return copied.select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

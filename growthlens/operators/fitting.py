@@ -128,9 +128,8 @@ def fit_curves(series: DataFrame, group: str, x: str, y: str, first: float, last
     pairs = work.withColumn("curve", F.explode(F.array(*(F.lit(c) for c in curves))))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kept = pd.DataFrame({group: [], "curve": [], "params": [], "mse": [], "success": []})
         if len(rows) < least:
-            return kept
+            return pd.DataFrame(columns=[group, "curve", "params", "mse", "success"], dtype=object)
         rows = rows.sort_values(["x", "y"])
         xs, ys, name = rows["x"].to_numpy(), rows["y"].to_numpy(), key[1]
         start = start_point(name, xs, ys)

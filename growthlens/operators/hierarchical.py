@@ -178,7 +178,7 @@ def sample_model(points: DataFrame, variant: str = "square", chains: int = 4, it
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         present, total, t, country, j = data.value
         if not j:
-            return pd.DataFrame({"draw": [], "cid": [], "total_b": [], "share_b": []})
+            return pd.DataFrame(columns=["draw", "cid", "total_b", "share_b"], dtype=object)
         a, b = sample_chain(present, total, t, country, j, iterations, thin, seed + int(key[0]))
         n = len(a)
         return pd.DataFrame({"draw": np.repeat(np.arange(n) * chains + int(key[0]), j), "cid": np.tile(np.arange(1, j + 1), n), "total_b": list(a.reshape(n * j, -1)), "share_b": list(b.reshape(n * j, -1))})

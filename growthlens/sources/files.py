@@ -82,3 +82,8 @@ def to_latex(df: DataFrame, headings: Sequence[str] | None = None, most: int = 1
 
     lines = [" & ".join(map(safe, r)) + r" \\" for r in [list(headings or df.columns), *_cells(df, most)]]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", lines[0], r"\hline", *lines[1:], r"\end{tabular}"])
+
+
+def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
+    """Tables of a database, views aside."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if t.tableType in ("MANAGED", "EXTERNAL"))

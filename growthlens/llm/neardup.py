@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             pairs = materialize(pairs.where(distance("sig_a", "sig_b") <= MAX_DISTANCE).select("a", "b").distinct())
         tried = pairs
         ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-        texts = source.join(ids, "id", "left_semi")
+        texts = materialize(source.join(ids, "id", "left_semi"))  # plain tables on both sides let Spark split a leader of many pairs
         found = materialize(
             pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             roots = components(named.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
             old, comp = comp, materialize(comp.join(roots, comp["comp"] == roots["u"], "left").select("rep", F.coalesce("v", "comp").alias("comp")))
             discard(old, roots)
-        discard(found)
+        discard(found, texts)
     discard(index, signed)
     labelled = reps.join(comp, "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id"))

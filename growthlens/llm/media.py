@@ -212,9 +212,13 @@ def describe_store(store: DataFrame) -> DataFrame:
 
 
 def resolve(parsed: DataFrame, store: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each media reference: id, `keep`, position, caption, digest and what describe_store() says of it, null where the store has no such payload."""
+    """One row for each media reference: id, `keep`, position, caption, digest and what describe_store() says of it, null where the store has no such payload.
+
+    What is said of payloads is narrow and written first: with plain tables on both
+    sides, Spark can split the references to one very common payload.
+    """
     media = parsed.select(id_col, *keep, F.explode("items").alias("i")).where("i.ref is not null").select(id_col, *keep, "i.position", F.col("i.text").alias("caption"), "i.digest")
-    return media.join(describe_store(store), "digest", "left")
+    return media.join(materialize(describe_store(store)), "digest", "left")
 
 
 def interleave(pages: DataFrame, store: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

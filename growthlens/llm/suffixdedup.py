@@ -392,7 +392,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     long_ = rows.where(F.octet_length("text") >= length).select(F.col("key").alias("doc"), "nth", "text")
     grams = materialize(long_.mapInArrow(lambda it: _grams(it, length, gram), "doc long, nth long, gram long, n int"))
     twice = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    wanted = grams.join(twice, "gram").groupBy("doc", "nth").agg(F.collect_list("gram").alias("grams"))
+    wanted = grams.join(twice, "gram").groupBy("doc", "nth").agg(F.collect_set("gram").alias("grams"))
     joined = long_.join(wanted, ["doc", "nth"]).select("doc", "nth", "text", "grams")
     schema = "doc long, nth long, start long, size int, gram long, at int, c1 long, c2 long, bytes binary"
     members = materialize(joined.mapInArrow(lambda it: _contexts(it, length, gram), schema))
@@ -418,7 +418,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     whole = classes.where("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
-    spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_list("s")).alias("spans")).withColumnRenamed("doc", "key"))
+    spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
     discard(members, classes, covers)
     return spans
 

@@ -44,6 +44,8 @@ GRAM = 128
 MANY_CONTEXTS = 256
 #: Bytes of contexts sorted at once; positions and ranks must fit in 20 bits each.
 SHARD_BYTES = 1 << 19
+#: Bytes of contexts that one task sorts, shard by shard; plans shaped by compressed bytes would make tasks uneven.
+TASK_BYTES = 8 << 20
 _HALF = np.uint64(20)
 
 
@@ -305,39 +307,30 @@ def repeats(groups: list[list[bytes]], length: int, limit: int) -> Iterator[tupl
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key; gives the covered stretches of each context (c1, c2)."""
-    held: list[tuple[int, dict[bytes, list[tuple[int, int, int]]]]] = []
+    """Rows sorted by key; gives the covered stretches of each text (c1, c2), which may come more than once."""
+    held: list[tuple[int, dict[bytes, tuple[int, int]]]] = []
     size = 0
 
     def solve() -> pa.RecordBatch:
-        out: list[tuple[int, int, int, int]] = []
-        used = [(key, texts) for key, texts in held if len(texts) > 1]
-        for _, texts in held:
-            for text, owners in texts.items():
-                if len({(a, b) for a, b, _ in owners}) > 1:  # the same bytes in different contexts
-                    out += [(a, b, off, off + len(text)) for a, b, off in owners]
-        names = [list(texts) for _, texts in used]
-        if names:
-            for g, i, s, e in repeats(names, length, limit):
-                out += [(a, b, off + s, off + e) for a, b, off in used[g][1][names[g][i]]]
+        names = [list(texts) for _, texts in held if len(texts) > 1]
+        owners = [list(texts.values()) for _, texts in held if len(texts) > 1]
+        out = [(*owners[g][i], s, e) for g, i, s, e in repeats(names, length, limit)] if names else []
         columns = list(zip(*out, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["c1", "c2", "lo", "hi"])
 
     for batch in batches:
-        for key, c1, c2, off, text in zip(*(batch.column(c).to_pylist() for c in ("key", "c1", "c2", "off", "bytes")), strict=True):
+        for key, c1, c2, text in zip(*(batch.column(c).to_pylist() for c in ("key", "c1", "c2", "bytes")), strict=True):
             if not held or held[-1][0] != key:
                 if size >= limit:
                     yield solve()
                     held, size = [], 0
-                elif held and len(held[-1][1]) < 2 and len(next(iter(held[-1][1].values()))) < 2:
+                elif held and len(held[-1][1]) < 2:
                     size -= len(next(iter(held.pop()[1])))  # a text alone repeats nothing
                 held.append((key, {}))
-            owners = held[-1][1].setdefault(text, [])
-            if not owners:
+            if text not in held[-1][1]:
+                held[-1][1][text] = (c1, c2)
                 size += len(text)
-            if (c1, c2, off) not in owners:
-                owners.append((c1, c2, off))
     if held:
         yield solve()
 
@@ -387,6 +380,10 @@ def _strip(batches: Iterator[pa.RecordBatch], whole_characters: bool, with_text:
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *kept], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(f"keep_{c}" for c in keep)])
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
     """Columns key, nth, spans of the rows of `rows(key, nth, text)` that have repeated windows; spans may overlap."""
     long_ = rows.where(F.octet_length("text") >= length).select(F.col("key").alias("doc"), "nth", "text")
@@ -400,26 +397,33 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     classes = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.first("size").alias("size")))
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     texts = members.where("bytes is not null").select("gram", "at", "c1", "c2", "bytes").join(kinds, "gram")
-    few = texts.where(F.col("kinds") <= many).select(F.col("gram").alias("key"), "c1", "c2", F.lit(0).alias("off"), "bytes")
+    few = texts.where(F.col("kinds") <= many).select(F.col("gram").alias("key"), "c1", "c2", "bytes")
     parts = []
     for near, far in _steps(length, gram):
         # Windows that start `near` to `far` before the anchor, as far as the context has them.
         low, high = F.greatest(F.col("at") - far, F.lit(0)), F.least(F.col("at") - near, F.octet_length("bytes") - length)
-        core = F.substring(F.col("bytes"), F.col("at") - near + 1, F.lit(length + near - far)) if near == far == 0 else F.expr(f"substring(bytes, at - {near} + 1, {length + near - far})")
-        parts.append(F.when(low <= high, F.struct(F.lit(near).alias("near"), F.xxhash64(core, F.lit(near), F.lit(length)).alias("key"), low.cast("int").alias("off"), (high - low + length).cast("int").alias("size"))))
-    split = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("p"))
-    keyed = split.select("p.key", "c1", "c2", "p.off", "p.size")
-    shared = keyed.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo < hi").select("key")
-    chosen = keyed.join(shared, "key").distinct()
+        core = F.expr(f"substring(bytes, at - {near} + 1, {length + near - far})")
+        parts.append(F.when(low <= high, F.struct(F.xxhash64(core, F.lit(near), F.lit(length)).alias("key"), low.cast("int").alias("off"), (high - low + length).cast("int").alias("size"))))
+    split = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("p")).withColumn("part", F.expr("substring(bytes, p.off + 1, p.size)"))
+    # What several contexts share of a step is one text, as contexts are: counted once, and searched once.
+    pieces = materialize(split.select("p.key", F.xxhash64("part", F.lit(1)).alias("s1"), F.xxhash64("part", F.lit(2)).alias("s2"), "c1", "c2", "p.off", "p.size").distinct())
+    shared = pieces.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2", "off", "size")).alias("one"))
+    meet = shared.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    chosen = shared.join(meet, "key").select("key", "s1", "s2", "one.*")
     bytes_of = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes")
-    far_apart = chosen.join(bytes_of, ["c1", "c2"]).select("key", "c1", "c2", "off", F.expr("substring(bytes, off + 1, size)").alias("bytes"))
-    ordered = few.unionByName(far_apart).repartition("key").sortWithinPartitions("key")
-    partial = ordered.mapInArrow(lambda it: _sorted_shards(it, length, limit), "c1 long, c2 long, lo int, hi int")
+    far_apart = chosen.join(bytes_of, ["c1", "c2"]).select("key", F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.expr("substring(bytes, off + 1, size)").alias("bytes"))
+    load = classes.join(kinds.select("gram"), "gram").agg(F.sum("size")).first()[0] or 0
+    shards = max(int(_partitions(rows)), -(-load // TASK_BYTES))
+    search = lambda df: df.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(lambda it: _sorted_shards(it, length, limit), "c1 long, c2 long, lo int, hi int")
+    owners = pieces.select(F.col("s1"), F.col("s2"), "c1", "c2", "off", "size")
+    found = search(far_apart).withColumnsRenamed({"c1": "s1", "c2": "s2"}).unionByName(shared.where("n > 1").select("s1", "s2", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))).distinct()
+    of_pieces = found.join(owners, ["s1", "s2"]).select("c1", "c2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
     whole = classes.where("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
+    partial = search(few).unionByName(of_pieces)
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
     spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
-    discard(members, classes, covers)
+    discard(members, classes, pieces, covers)
     return spans
 
 

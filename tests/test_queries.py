@@ -38,7 +38,7 @@ def rows(columns, data):
 def test_query(name, spark, data, duck):
     df = QUERIES[name](spark, data)
     got = df.collect()
-    assert got
+    assert got or name == "overlapping_units"  # ten units need not overlap
     if name in SQL:
         result = duck.execute(SQL[name])
         columns = [d[0] for d in result.description]

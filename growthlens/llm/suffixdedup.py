@@ -64,11 +64,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor: document, place, gram hash, and first and last window start (places in `data`)."""
-    none = np.zeros(0, np.int64)
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+    """For each anchor: its document, gram hash and place, the stretch [start, end) of its windows in `data`, and two hashes of that stretch."""
+    none = {c: np.zeros(0, np.int64) for c in ("doc", "gram", "place", "start", "end", "c1", "c2")}
     if len(data) < length:
-        return none, none, none.astype(np.uint64), none, none
+        return none
     prefix = T.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     hashes = (prefix[gram:] - prefix[:-gram]) * T.powers(len(at), inverse=True)
@@ -77,61 +77,37 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     bits = np.uint64(max(1, int(len(at)).bit_length()))
     place = np.uint64((1 << int(bits)) - 1)
     least = _least(hashes & ~place | at.astype(np.uint64), length - gram + 1)
-    start = np.arange(len(least))
-    doc = np.searchsorted(offsets, start, "right") - 1
-    inside = start + length <= offsets[doc + 1]
-    start, doc, best = start[inside], doc[inside], (least[inside] & place).astype(np.int64)
-    if not len(start):
-        return none, none, none.astype(np.uint64), none, none
-    new = np.ones(len(start), bool)
+    inside = np.ones(len(least), bool)
+    for e in offsets[1:-1].tolist():  # no window goes over the end of a document
+        inside[max(0, e - length + 1) : e] = False
+    begin = np.flatnonzero(inside)
+    if not len(begin):
+        return none
+    best = (least[begin] & place).astype(np.int64)
+    doc = np.searchsorted(offsets, begin, "right") - 1
+    new = np.ones(len(begin), bool)
     new[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return doc[first], best[first], hashes[best[first]], start[first], start[last]
+    last = np.append(first[1:], len(begin)) - 1
+    start, end, best = begin[first], begin[last] + length, best[first]
+    # The second hash is of eighths that are mixed one by one, so it shares no algebra with the first.
+    second = np.zeros(len(first), np.uint64)
+    for k in range(8):
+        a, b = start + (end - start) * k // 8, start + (end - start) * (k + 1) // 8
+        second = T.mix(second ^ T.span_hash(prefix, a, b))
+    return {"doc": doc[first], "gram": hashes[best].view(np.int64), "place": best, "start": start, "end": end, "c1": T.span_hash(prefix, start, end).view(np.int64), "c2": second.view(np.int64)}
 
 
-def _grams(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
             part = batch.slice(a, b - a)
             data, offsets = T.flat(part.column("text"))
-            doc, _, value, _, _ = anchors(data, offsets, length, gram)
-            order = np.lexsort((value, doc))
-            doc, value = doc[order], value[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(doc)))
-            yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(doc[at])), part.column("nth").take(pa.array(doc[at])), pa.array(value[at].view(np.int64)), pa.array(n.astype(np.int32))], names=["doc", "nth", "gram", "n"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The contexts of repeated grams; a task gives the bytes of a context once."""
-    told: set[int] = set()
-    for batch in batches:
-        for a, b in T.slices(batch):
-            part = batch.slice(a, b - a)
-            data, offsets = T.flat(part.column("text"))
-            doc, at, value, first, last = anchors(data, offsets, length, gram)
-            wanted, lead = part.column("grams").flatten().to_numpy(zero_copy_only=False), part.column("grams").offsets.to_numpy()
-            owner = np.repeat(np.arange(b - a), np.diff(lead))
-            known = np.sort(T.mix(wanted.view(np.uint64) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            own = T.mix(value + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            if not len(own) or not len(known):
-                continue
-            keep = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-            doc, at, value, first, last = (x[keep] for x in (doc, at, value, first, last))
-            raw = data.tobytes()
-            c1, c2, texts = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), []
-            for i, (s, e) in enumerate(zip(first.tolist(), (last + length).tolist(), strict=True)):
-                digest = hashlib.blake2b(raw[s:e], digest_size=16).digest()
-                c1[i], c2[i] = np.frombuffer(digest, np.int64)
-                key = int.from_bytes(digest, "little")
-                texts.append(None if key in told else raw[s:e])
-                told.add(key)
+            found = anchors(data, offsets, length, gram)
+            doc = found["doc"]
             columns = [part.column(c).take(pa.array(doc)) for c in ("doc", "nth")]
-            columns += [pa.array((first - offsets[doc]).astype(np.int64)), pa.array((last + length - first).astype(np.int32)), pa.array(value.view(np.int64)), pa.array((at - first).astype(np.int32)), pa.array(c1), pa.array(c2), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "nth", "start", "size", "gram", "at", "c1", "c2", "bytes"])
+            columns += [pa.array(found["start"] - offsets[doc]), pa.array((found["end"] - found["start"]).astype(np.int32)), pa.array(found["gram"]), pa.array((found["place"] - found["start"]).astype(np.int32)), pa.array(found["c1"]), pa.array(found["c2"])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "nth", "start", "size", "gram", "at", "c1", "c2"])
 
 
 # ---- suffix arrays ---------------------------------------------------------
@@ -387,16 +363,16 @@ def _partitions(df: DataFrame) -> int:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
     """Columns key, nth, spans of the rows of `rows(key, nth, text)` that have repeated windows; spans may overlap."""
     long_ = rows.where(F.octet_length("text") >= length).select(F.col("key").alias("doc"), "nth", "text")
-    grams = materialize(long_.mapInArrow(lambda it: _grams(it, length, gram), "doc long, nth long, gram long, n int"))
-    twice = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    wanted = grams.join(twice, "gram").groupBy("doc", "nth").agg(F.collect_set("gram").alias("grams"))
-    joined = long_.join(wanted, ["doc", "nth"]).select("doc", "nth", "text", "grams")
-    schema = "doc long, nth long, start long, size int, gram long, at int, c1 long, c2 long, bytes binary"
-    members = materialize(joined.mapInArrow(lambda it: _contexts(it, length, gram), schema))
-    discard(grams)
-    classes = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.first("size").alias("size")))
+    schema = "doc long, nth long, start long, size int, gram long, at int, c1 long, c2 long"
+    members = materialize(long_.mapInArrow(lambda it: _anchor_rows(it, length, gram), schema))
+    twice = members.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # One row a context, with the first of its places: all of them hold the same bytes.
+    classes = materialize(members.join(twice, "gram").groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "nth", "start", "size", "at"))))
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    texts = members.where("bytes is not null").select("gram", "at", "c1", "c2", "bytes").join(kinds, "gram")
+    wanted = classes.join(kinds, "gram").groupBy("doc", "nth").agg(F.collect_list(F.struct("start", "size", "gram", "at", "kinds", "c1", "c2")).alias("w"))
+    cut = F.transform("w", lambda x: F.struct(x["gram"].alias("gram"), x["at"].alias("at"), x["kinds"].alias("kinds"), x["c1"].alias("c1"), x["c2"].alias("c2"), F.substring(F.col("text").cast("binary"), (x["start"] + 1).cast("int"), x["size"]).alias("bytes")))
+    # Repeated rows hold the same bytes; each has its contexts cut, and shards see one of them.
+    texts = materialize(long_.join(wanted, ["doc", "nth"]).select(F.inline(cut)))
     few = texts.where(F.col("kinds") <= many).select(F.col("gram").alias("key"), "c1", "c2", "bytes")
     parts = []
     for near, far in _steps(length, gram):
@@ -423,7 +399,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
     spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
-    discard(members, classes, pieces, covers)
+    discard(members, classes, texts, pieces, covers)
     return spans
 
 

@@ -8,13 +8,13 @@ from growthlens.streaming import increments
 
 
 def test_xml_files(spark, tmp_path):
-    (tmp_path / "h.osm").write_text(
-        '<osm><node id="1" lat="2.5" lon="3" version="1" timestamp="2015-01-02T03:04:05Z" visible="true"/><node id="1" lat="2.6" lon="3" version="2" timestamp="2015-03-02T03:04:05Z" visible="FALSE"/>'
+    (tmp_path / "h.xml").write_text(
+        '<all><node id="1" lat="2.5" lon="3" version="1" timestamp="2015-01-02T03:04:05Z" visible="true"/><node id="1" lat="2.6" lon="3" version="2" timestamp="2015-03-02T03:04:05Z" visible="FALSE"/>'
         '<way id="7" version="1" timestamp="2015-02-01T00:00:00Z" visible="true"><nd ref="1"/><nd ref="9"/><tag k="highway" v="service"/></way>'
-        '<way id="8" version="1" timestamp="2015-02-01T00:00:00Z" visible="true"><nd ref="1"/><tag k="building" v="yes"/></way></osm>'
+        '<way id="8" version="1" timestamp="2015-02-01T00:00:00Z" visible="true"><nd ref="1"/><tag k="building" v="yes"/></way></all>'
     )
-    nodes = xml.nodes(xml.read_elements(spark, str(tmp_path / "h.osm"), "node"))
-    ways = xml.ways(xml.read_elements(spark, str(tmp_path / "h.osm"), "way"))
+    nodes = xml.nodes(xml.read_elements(spark, str(tmp_path / "h.xml"), "node"))
+    ways = xml.ways(xml.read_elements(spark, str(tmp_path / "h.xml"), "way"))
     assert [(r["node_id"], r["version"]) for r in nodes.collect()] == [(1, 1)]
     row = xml.geometry(ways, nodes).first()
     assert (row["way_id"], row["service"], row["road"], row["n_nodes"], row["n_missing"]) == (7, True, False, 1, 1)

@@ -38,7 +38,7 @@ def test_classes(spark, monkeypatch, block, seed):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(seed)
     texts = []
-    for family in range(8):
+    for _ in range(8):
         base = words(rng, rng.choice([3, 8, 60, 150])).split()
         for _ in range(rng.choice([1, 6, 25])):
             w = list(base)

@@ -130,7 +130,7 @@ def fitted_curves(t: Tables) -> DataFrame:
 
 @query()
 def fitted_choice(t: Tables) -> DataFrame:
-    """The best curve by group and what it says of completeness."""
+    """The best curve by group and what it says of completeness."""
     fits = M.fit_curves(cumulative(t), "grp", "x", "y", *_AXIS, curves=("sigmoid", "gompertz", "sigmoid_1_jumps"), most=2000)
     best = M.best_fit(fits.withColumn("ordinal", F.col("curve")), ["grp"])
     return M.fit_summary(best, cumulative(t), "grp", "x", "y", *_AXIS).select("grp", "curve", "mse", "asymptote", "x_now", "y_now", "share_model", "share_fit")

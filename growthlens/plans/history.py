@@ -33,18 +33,19 @@ _WORLD = "SELECT * REPLACE (-1 AS id0) FROM iv WHERE visible QUALIFY row_number(
 
 @query(_series_sql(["road", "id0"], _LEVEL0))
 def active_history_daily(t: Tables) -> DataFrame:
-    """W1, F8, W3, W5, A1 at level 0."""
+    """W1, F8, F10, W3, W5, J5, A1, A4 at level 0: steps up and down make one series, so no frames are laid side by side."""
     return H.collapse(intervals(t), 0)
 
 
 @query(_series_sql(["road", "id0"], _WORLD))
 def active_history_world(t: Tables) -> DataFrame:
-    """Level -1: one row a version wherever it lies, also outside every unit."""
+    """A4, level -1: one row a version wherever it lies, also outside every unit."""
     return H.collapse(intervals(t), -1)
 
 
 @query(_series_sql(["road", "id0", "id1"], _LEVEL1))
 def active_history_level1(t: Tables) -> DataFrame:
+    """A4, level 1."""
     return H.collapse(intervals(t), 1)
 
 
@@ -128,7 +129,7 @@ def tail_mean_by_group(t: Tables) -> DataFrame:
 @query(f"""WITH {_DAILY}, x AS (SELECT *, (SELECT max(day) FROM daily) AS last FROM daily)
 SELECT grp, max(y) AS max_value, CAST(floor(avg(y) FILTER (WHERE day > last - 3)) AS BIGINT) AS tail_value, coalesce(CAST(floor(avg(y) FILTER (WHERE day > last - 3)) AS BIGINT), max(y)) AS "level" FROM x GROUP BY grp""")
 def tail_mean_overall(t: Tables) -> DataFrame:
-    """A5 with the table's last date, and E18 where a group has no row that late."""
+    """A5, J18 with the table's last date, and E18 where a group has no row that late."""
     return T.tail_mean(daily_orders(t), ["grp"], "day", "y", days=3, overall=True)
 
 
@@ -181,6 +182,15 @@ def range_order_check(t: Tables) -> DataFrame:
     return H.in_order(files, "low", "high", "file_id")
 
 
+@query(_series_sql(["road", "id0"], _LEVEL0, "SELECT id0, dt, freq, round(length / 1e9, 9) AS y, round(date_diff('day', DATE '1970-01-01', dt) * 86400.0 / 1e9, 9) AS x FROM series WHERE road"))
+def road_series(t: Tables) -> DataFrame:
+    """IO11, F5, E5: the roads of a level on the axes that curves are fitted on."""
+    from growthlens.functions import scalars as S
+
+    rows = H.collapse(intervals(t), 0).where("road")
+    return rows.select("id0", "dt", "freq", F.round(F.col("length") / 1e9, 9).alias("y"), F.round(S.to_axis("dt"), 9).alias("x"))
+
+
 @query(f"""WITH {VERSIONS} SELECT way_id, version, part, length FROM iv WHERE visible AND (length IS NULL OR length < 2000) AND way_id <> 13 AND id0 IN (1, 2, 5)""")
 def filtered_versions(t: Tables) -> DataFrame:
     """Null-or-range, denylist, visibility after intervals, list."""

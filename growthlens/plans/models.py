@@ -29,6 +29,28 @@ _SCORED = f"""WITH {_DRAWS}, {_CELLS}, v AS (SELECT c_custkey, id0, exp(t1 + t2
 sc AS (SELECT c_custkey, id0, avg(seg) AS m1, quantile_cont(seg, 0.05) AS a1, quantile_cont(seg, 0.95) AS b1, avg(fc) AS m2, quantile_cont(fc, 0.05) AS a2, quantile_cont(fc, 0.95) AS b2 FROM v GROUP BY 1, 2)"""
 
 
+def _variant_sql(name: str, eta: str) -> str:
+    return f"SELECT '{name}' AS variant, cid, round(avg(1 / (1 + exp(-({eta})))), 6) AS share, CAST(count(DISTINCT c_custkey) AS BIGINT) AS n FROM y JOIN d USING (cid) GROUP BY cid"
+
+
+@query(f"""WITH {_DRAWS}, {_CELLS}, y AS (SELECT *, CAST(x >= 1 AS DOUBLE) AS top, CAST((x >= -1)::INT + (x >= -0.5)::INT + (x >= 0.25)::INT + (x >= 1)::INT + 1 AS INT) AS klass FROM x)
+{_variant_sql("linear", "s1 + s2 * x")} UNION ALL {_variant_sql("square", "s1 + s2 * x + s3 * (x * x)")} UNION ALL {_variant_sql("top", "s1 + s2 * top + s3 * x")}
+UNION ALL {_variant_sql("classes", "CASE klass WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 WHEN 4 THEN s1 ELSE s2 END + s3 * x")}""")
+def scored_variants(t: Tables) -> DataFrame:
+    """M16a, M16b, M16c, M16d, E9, E10: the four linear predictors of the model, scored with the same draws."""
+    from growthlens.functions import binning as B
+
+    c = cells(t).withColumn("top", (F.col("x") >= 1).cast("int")).withColumn("klass", B.digitize("x", [-1, -0.5, 0.25, 1]) + 1)
+    b = F.col("share_b")
+    six = F.array(*(F.get(b, F.lit(i)) for i in (0, 1, 2, 0, 1, 2)))
+    out = []
+    for v in H.VARIANTS:
+        d = draws(t) if v != "classes" else draws(t).withColumn("share_b", six).withColumn("total_b", six)
+        s = H.score_cells(c, d, v).groupBy("cid").agg(F.round(F.avg("share_mean"), 6).alias("share"), F.count("*").alias("n"))
+        out.append(s.select(F.lit(v).alias("variant"), "cid", "share", "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query(f"{_SCORED} SELECT c_custkey, round(m1, 6) AS segments_mean, round(a1, 6) AS segments_p5, round(b1, 6) AS segments_p95, round(m2, 6) AS share_mean, round(a2, 6) AS share_p5, round(b2, 6) AS share_p95 FROM sc")
 def scored_cells(t: Tables) -> DataFrame:
     """All draws of a cell's country, summed up."""

@@ -102,7 +102,7 @@ def masked_raster(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RASTER} SELECT round(min(col) / 120.0 - 180, 8) AS "left", round(90 - min("row") / 120.0, 8) AS top, max(col) - min(col) + 1 AS width, max("row") - min("row") + 1 AS height, count(DISTINCT CAST("row" // 30 * 1440 + col // 30 + 1 AS BIGINT)) AS n_tiles, CAST(count(*) AS BIGINT) AS n_pixels FROM r""")
 def raster_metadata(t: Tables) -> DataFrame:
-    """G11, G16, A24."""
+    """G11, G16, IO28, A24."""
     return P.metadata(raster(t)).select(F.round("left", 8).alias("left"), F.round("top", 8).alias("top"), "width", "height", "n_tiles", "n_pixels")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import chat, langid, media, mixing, neardup, pieces, quality, sharding, suffixdedup, toxicity
+from growthlens.llm import chat, langid, media, mixing, neardup, oracles, pieces, quality, sharding, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.round_trip(rows, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat.round_trip(rows, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_tokens", "n_loss_tokens")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -365,11 +365,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     long_ = rows.where(F.octet_length("text") >= length).select(F.col("key").alias("doc"), "nth", "text")
     schema = "doc long, nth long, start long, size int, gram long, at int, c1 long, c2 long"
     members = materialize(long_.mapInArrow(lambda it: _anchor_rows(it, length, gram), schema))
-    twice = members.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    # One row a context, with the first of its places: all of them hold the same bytes.
-    classes = materialize(members.join(twice, "gram").groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "nth", "start", "size", "at"))))
-    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = classes.join(kinds, "gram").groupBy("doc", "nth").agg(F.collect_list(F.struct("start", "size", "gram", "at", "kinds", "c1", "c2")).alias("w"))
+    # One row a context, with the first of its places: all of them hold the same bytes. Copies fold before they are shuffled.
+    classes = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "nth", "start", "size", "at"))))
+    kinds = materialize(classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1"))
+    # Both sides are plain tables, so Spark can split a gram of very many contexts.
+    wanted = classes.join(kinds.select("gram", "kinds"), "gram").groupBy("doc", "nth").agg(F.collect_list(F.struct("start", "size", "gram", "at", "kinds", "c1", "c2")).alias("w"))
     cut = F.transform("w", lambda x: F.struct(x["gram"].alias("gram"), x["at"].alias("at"), x["kinds"].alias("kinds"), x["c1"].alias("c1"), x["c2"].alias("c2"), F.substring(F.col("text").cast("binary"), (x["start"] + 1).cast("int"), x["size"]).alias("bytes")))
     # Repeated rows hold the same bytes; each has its contexts cut, and shards see one of them.
     texts = materialize(long_.join(wanted, ["doc", "nth"]).select(F.inline(cut)))
@@ -388,7 +388,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     chosen = shared.join(meet, "key").select("key", "s1", "s2", "one.*")
     bytes_of = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes")
     far_apart = chosen.join(bytes_of, ["c1", "c2"]).select("key", F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.expr("substring(bytes, off + 1, size)").alias("bytes"))
-    load = classes.join(kinds.select("gram"), "gram").agg(F.sum("size")).first()[0] or 0
+    load = kinds.agg(F.sum("bytes")).first()[0] or 0
     shards = max(int(_partitions(rows)), -(-load // TASK_BYTES))
     search = lambda df: df.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(lambda it: _sorted_shards(it, length, limit), "c1 long, c2 long, lo int, hi int")
     owners = pieces.select(F.col("s1"), F.col("s2"), "c1", "c2", "off", "size")
@@ -399,7 +399,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
     spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
-    discard(members, classes, texts, pieces, covers)
+    discard(members, classes, kinds, texts, pieces, covers)
     return spans
 
 

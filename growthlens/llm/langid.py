@@ -31,7 +31,7 @@ SAMPLE_BYTES = 32 << 20
 EPOCHS = 4
 UNKNOWN = "und"
 #: Documents whose counts are held side by side.
-_BLOCK = 128
+_BLOCK = 64
 
 
 def _folded() -> np.ndarray:
@@ -147,6 +147,7 @@ def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+@T.tidy
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of this task that have each feature; -1 counts the documents."""
     df, docs = np.zeros(DIMENSIONS, np.int64), 0
@@ -159,6 +160,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], names=["feature", "n"])
 
 
+@T.tidy
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
@@ -173,6 +175,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(features, pa.list_(pa.int16())), pa.array(counts, pa.list_(pa.int16()))], names=["lang", "features", "counts"])
 
 
+@T.tidy
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):

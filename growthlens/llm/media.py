@@ -154,6 +154,7 @@ def describe(payload: bytes) -> str:
     return f"{WIDTH}x{len(pixels)} mean={','.join(f'{x:.4f}' for x in mean)} std={','.join(f'{x:.4f}' for x in spread)} dhash={bits}"
 
 
+@T.tidy
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A page for each text, whose figure refers to the text's payload; a task stores a payload once."""
     stored: set[bytes] = set()
@@ -175,12 +176,14 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["id", "n_bytes", "html", "digest", "media"])
 
 
+@T.tidy
 def _parse(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = pa.array([_Interleaved().read(x) for x in batch.column("html").to_pylist()], kind)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "html"), items], names=[*(c for c in batch.schema.names if c != "html"), "items"])
 
 
+@T.tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

@@ -73,6 +73,7 @@ def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS, max_distance: int = MAX_DI
     return np.stack(keys, 1).view(np.int64) if keys else np.zeros((len(sig), 0), np.int64)
 
 
+@T.tidy
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
@@ -98,6 +99,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@T.tidy
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
@@ -109,6 +111,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(slot), pa.array(ids)], names=["key", "slot", "rep"])
 
 
+@T.tidy
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
@@ -127,6 +130,7 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+@T.tidy
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of texts whose full sets reach the similarity; exact integer arithmetic."""
     for whole in batches:
@@ -189,6 +193,7 @@ def _pairs_of_key(group: dict[str, np.ndarray], percent: int) -> tuple[np.ndarra
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
+@T.tidy
 def _meetings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by key and block pair; keeps no more than one such group."""
     held: list[pa.RecordBatch] = []

@@ -146,6 +146,7 @@ def _encoder(model: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
+@T.tidy
 def _rows(batches: Iterator[pa.RecordBatch], model: bytes, digests: bool) -> Iterator[pa.RecordBatch]:
     coder = _encoder(model)
     for batch in batches:

@@ -153,6 +153,7 @@ def _cleaned(data: np.ndarray, offsets: np.ndarray, found: dict[str, np.ndarray]
     return out
 
 
+@T.tidy
 def _rows(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):

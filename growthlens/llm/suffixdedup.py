@@ -43,7 +43,7 @@ GRAM = 128
 #: Different contexts of a gram beyond which its windows are split by distance and content.
 MANY_CONTEXTS = 256
 #: Bytes of contexts sorted at once; positions and ranks must fit in 20 bits each.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 #: Bytes of contexts that one task sorts, shard by shard; plans shaped by compressed bytes would make tasks uneven.
 TASK_BYTES = 8 << 20
 _HALF = np.uint64(20)
@@ -98,6 +98,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> di
     return {"doc": doc[first], "gram": hashes[best].view(np.int64), "place": best, "start": start, "end": end, "c1": T.span_hash(prefix, start, end).view(np.int64), "c2": second.view(np.int64)}
 
 
+@T.tidy
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
@@ -282,6 +283,7 @@ def repeats(groups: list[list[bytes]], length: int, limit: int) -> Iterator[tupl
             yield g, i, s - int(shard.lead[k]), e - 1 - int(shard.lead[k]) + length
 
 
+@T.tidy
 def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key; gives the covered stretches of each text (c1, c2), which may come more than once."""
     held: list[tuple[int, dict[bytes, tuple[int, int]]]] = []
@@ -323,6 +325,7 @@ def _steps(length: int, gram: int) -> list[tuple[int, int]]:
     return out
 
 
+@T.tidy
 def _strip(batches: Iterator[pa.RecordBatch], whole_characters: bool, with_text: bool, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):

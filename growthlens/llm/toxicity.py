@@ -243,6 +243,7 @@ def _figures(model: Model, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return out, m
 
 
+@T.tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):
@@ -255,6 +256,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+@T.tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch):

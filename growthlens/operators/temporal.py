@@ -47,30 +47,35 @@ def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     return picked.select(*left_id, *(F.col(f"row.{v}").alias(v) for v in values))
 
 
+def steps(df: DataFrame, groups: Sequence[str], start: str, end: str, measure: str, open_end: str = OPEN_END) -> DataFrame:
+    """Sums by group and day of +1 (and the measure) where a row starts and -1 where it ends: columns dt, n, m."""
+    up = F.struct(F.col(start).alias("dt"), F.lit(1).alias("n"), F.col(measure).alias("m"))
+    down = F.struct(F.col(end).alias("dt"), F.lit(-1).alias("n"), (-F.col(measure)).alias("m"))
+    both = F.when(F.col(end) < F.lit(open_end).cast("date"), F.array(up, down)).otherwise(F.array(up))
+    return df.select(*groups, F.inline(both)).groupBy(*groups, "dt").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def running(sums: DataFrame, groups: Sequence[str], last: DataFrame) -> DataFrame:
+    """The daily series that steps add up to, each level held until the day before the next step, or to `last(last)`, one row."""
+    by = Window.partitionBy(*groups).orderBy("dt")
+    run = by.rowsBetween(Window.unboundedPreceding, 0)
+    levels = sums.select(*groups, "dt", F.sum("n").over(run).cast("long").alias("freq"), F.coalesce(F.sum("m").over(run), F.lit(0)).cast("long").alias("length"), F.lead("dt").over(by).alias("_next"))
+    days = F.sequence("dt", F.coalesce(F.date_sub("_next", 1), F.col("last")), F.expr("interval 1 day"))
+    return levels.crossJoin(F.broadcast(last)).select(*groups, F.explode(days).alias("dt"), "freq", "length")
+
+
 def active_series(df: DataFrame, groups: Sequence[str], start: str, end: str, measure: str, open_end: str = OPEN_END) -> DataFrame:
     """Number and total measure of rows active on each day, by group, without gaps.
 
     Each row is a step up at its start and one down at its end; running sums of the
     steps of a day are the series. Series start with the group's first step and end with
     the last step of any group. Steps are summed by group and day before the window, so
-    its partitions have a row a day however many versions there are.
+    its partitions have a row a day however many versions there are; days without a step
+    are only made at the end.
     """
-    up = df.select(*groups, F.col(start).alias("dt"), F.lit(1).alias("n"), F.col(measure).alias("m"))
-    down = df.where(F.col(end) < F.lit(open_end).cast("date")).select(*groups, F.col(end).alias("dt"), F.lit(-1).alias("n"), (-F.col(measure)).alias("m"))
-    steps = up.unionByName(down).groupBy(*groups, "dt").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    last = steps.agg(F.max("dt").alias("last"))
-    spans = steps.groupBy(*groups).agg(F.min("dt").alias("first")).crossJoin(F.broadcast(last))  # the right side is one row
-    days = spans.select(*groups, F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("dt"))
-    filled = days.alias("d").join(steps.alias("s"), _same([*groups, "dt"]), "left").select(*(F.col(f"d.{c}") for c in (*groups, "dt")), "n", "m")
-    run = Window.partitionBy(*groups).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return filled.select(*groups, "dt", F.coalesce(F.sum("n").over(run), F.lit(0)).cast("long").alias("freq"), F.coalesce(F.sum("m").over(run), F.lit(0)).cast("long").alias("length"))
-
-
-def _same(columns: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out &= F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return out
+    ended = F.max(F.when(F.col(end) < F.lit(open_end).cast("date"), F.col(end)))
+    last = df.agg(F.greatest(F.max(start), ended).alias("last"))
+    return running(steps(df, groups, start, end, measure, open_end), groups, last)
 
 
 def still_open(df: DataFrame, groups: Sequence[str], end: str, measure: str, open_end: str = OPEN_END) -> DataFrame:

@@ -9,17 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from growthlens.operators.temporal import OPEN_END
-
-
-def steps(df: DataFrame, groups: Sequence[str], start: str, end: str, measure: str) -> DataFrame:
-    up = df.select(*groups, F.col(start).alias("dt"), F.lit(1).alias("n"), F.col(measure).alias("m"))
-    down = df.where(F.col(end) < F.lit(OPEN_END).cast("date")).select(*groups, F.col(end).alias("dt"), F.lit(-1).alias("n"), (-F.col(measure)).alias("m"))
-    return up.unionByName(down).groupBy(*groups, "dt").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+from growthlens.operators.temporal import running, steps
 
 
 def append_steps(stream: DataFrame, path: str, checkpoint: str, groups: Sequence[str], start: str, end: str, measure: str) -> StreamingQuery:
@@ -34,8 +28,4 @@ def append_steps(stream: DataFrame, path: str, checkpoint: str, groups: Sequence
 def series(spark: SparkSession, path: str, groups: Sequence[str]) -> DataFrame:
     """The daily series of all batches so far: groups, dt, freq, length."""
     sums = spark.read.parquet(path).groupBy(*groups, "dt").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    last = sums.agg(F.max("dt").alias("last"))
-    days = sums.groupBy(*groups).agg(F.min("dt").alias("first")).crossJoin(F.broadcast(last)).select(*groups, F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("dt"))  # the right side is one row
-    run = Window.partitionBy(*groups).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    filled = days.join(sums, [*groups, "dt"], "left")
-    return filled.select(*groups, "dt", F.coalesce(F.sum("n").over(run), F.lit(0)).cast("long").alias("freq"), F.coalesce(F.sum("m").over(run), F.lit(0)).cast("long").alias("length"))
+    return running(sums, groups, sums.agg(F.max("dt").alias("last")))

@@ -148,7 +148,7 @@ class Model:
 
 def cover(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Features that explain the toxic documents, by greedy choice."""
-    doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    doc = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     flat = np.concatenate(features) if features else np.zeros(0, np.int64)
     n0 = np.bincount(flat[~toxic[doc]], minlength=DIMENSIONS)
     n1 = np.bincount(flat[toxic[doc]], minlength=DIMENSIONS)
@@ -290,12 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = picks[0].unionByName(picks[1]).dropDuplicates(["id"])  # bounded by its limits, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= sample_text)
     rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["text"]).select("toxic", "text")
-    got = rows.mapInArrow(_features, "toxic int, x binary").collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["x"])))
-    toxic = np.array([r["toxic"] == 1 for r in got], bool)
+    table = rows.mapInArrow(_features, "toxic int, x binary").toArrow()
+    got = sorted(zip(table.column("toxic").to_pylist(), table.column("x").to_pylist(), strict=True))
+    del table
+    toxic = np.array([kind == 1 for kind, _ in got], bool)
     if not toxic.any() or toxic.all():
         return None
-    return train([np.frombuffer(bytes(r["x"]), np.int32).reshape(-1, 1 + len(BEGINNINGS)).astype(np.int64) for r in got], toxic)
+    return train([np.frombuffer(x, np.int32).reshape(-1, 1 + len(BEGINNINGS)) for _, x in got], toxic)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -64,6 +64,7 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
             value = value * np.uint64(0x100000001B3) + letters[i : n - width + 1 + i]
         grams.append(T.mix(value))
     features = [(g & mask).astype(np.int64) for g in grams]
+    owner = np.repeat(np.arange(len(place) - 1), np.diff(place))
     letter_sum = np.concatenate([[0], np.cumsum(letters > 0)])
     for lo in range(0, len(offsets) - 1, _BLOCK):
         hi = min(lo + _BLOCK, len(offsets) - 1)
@@ -72,9 +73,10 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
             a, b = int(place[lo]), int(min(place[hi], len(feature)))
             if a >= b:
                 continue
-            owner = np.searchsorted(place, np.arange(a, b), "right") - 1
-            inside = np.arange(a, b) + width <= place[owner + 1]
-            flat += np.bincount((owner[inside] - lo) * DIMENSIONS + feature[a:b][inside], minlength=len(flat))
+            key = (owner[a:b] - lo) * DIMENSIONS + feature[a:b]
+            if width > 1:  # an n-gram ends in the document that it starts in
+                key = key[owner[a:b] == owner[a + width - 1 : b + width - 1]]
+            flat += np.bincount(key, minlength=len(flat))
         at = np.flatnonzero(flat)
         yield lo + at // DIMENSIONS, at % DIMENSIONS, flat[at], letter_sum[place[lo + 1 : hi + 1]] > letter_sum[place[lo:hi]]
 

@@ -39,3 +39,15 @@ def test_curves_of_large_ids(spark, tmp_path, name):
     pq.write_table(pa.table({"c_custkey": pa.array(keys, pa.int64())}), tmp_path / "customer.parquet")
     got = same(spark, tmp_path, name, without(name, " WHERE c_custkey < 1500"), ["customer"])
     assert name == "curve_errors" or len(got) == 8 * len(keys)
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name,tables,filters", [
+    ("way_geometry", ["events", "customer"], [" AND user_id < 30", " AND w.user_id < 30"]),
+    ("nodes_from_xml", ["events"], [" AND strftime(ts, '%Y-%m-%d') < '2024-01-10'"]),
+])
+def test_all_elements(spark, name, tables, filters):
+    got = same(spark, SMALL, f"{name}_all", without(name, *filters), tables)
+    assert len(got) > len(QUERIES[name](spark, SMALL).collect())

@@ -55,9 +55,18 @@ def transforms(t: Tables) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + l_linenumber AS total, round(l_quantity / (l_quantity + l_linenumber), 8) AS share, CAST(round_even(l_extendedprice, 0) AS INT) AS metres, least(l_quantity / 30, 1.0) AS capped, coalesce(nullif(l_tax, 0), l_discount, 0) AS first_known,
 least(l_tax, l_discount) AS smallest FROM lineitem WHERE l_orderkey % 8 = 0""")
 def row_arithmetic(t: Tables) -> DataFrame:
-    """E17, E18, E19, E20, E23, E25."""
+    """E17, E18, E19, E20, E23, E25 on the orders that its SQL names."""
+    return _row_arithmetic(t.lineitem.where("l_orderkey % 8 = 0"))
+
+
+@query()
+def row_arithmetic_all(t: Tables) -> DataFrame:
+    """E17, E18, E19, E20, E23, E25 on all rows."""
+    return _row_arithmetic(t.lineitem)
+
+
+def _row_arithmetic(rows: DataFrame) -> DataFrame:
     q, m = F.col("l_quantity"), F.col("l_linenumber")
-    rows = t.lineitem.where("l_orderkey % 8 = 0")
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", (q + m).alias("total"), F.round(F.try_divide(q, q + m), 8).alias("share"), F.rint("l_extendedprice").cast("int").alias("metres"), F.least(q / 30, F.lit(1.0)).alias("capped"),
         F.coalesce(F.nullif("l_tax", F.lit(0.0)), "l_discount", F.lit(0.0)).alias("first_known"), F.coalesce(F.least("l_tax", "l_discount"), F.lit(0.0)).alias("smallest"))

@@ -51,3 +51,7 @@ SMALL = "/root/testdata/sf0.01"
 def test_all_elements(spark, name, tables, filters):
     got = same(spark, SMALL, f"{name}_all", without(name, *filters), tables)
     assert len(got) > len(QUERIES[name](spark, SMALL).collect())
+
+
+def test_arithmetic_of_all_rows(spark, data):
+    same(spark, data, "row_arithmetic_all", without("row_arithmetic", " WHERE l_orderkey % 8 = 0"), ["lineitem"])

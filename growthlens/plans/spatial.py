@@ -148,8 +148,18 @@ d AS (SELECT c.*, CAST(unnest(range(CAST(floor((least(x0, x1) + 180) * 120) AS B
 h AS (SELECT way, d."row", d.col FROM d WHERE {_meets('(col / 120.0::DOUBLE - 180)', '(90 - ("row" + 1) / 120.0::DOUBLE)', '((col + 1) / 120.0::DOUBLE - 180)', '(90 - "row" / 120.0::DOUBLE)')}),
 m AS (SELECT way, avg(pop) AS pop FROM h JOIN r ON h."row" = r."row" AND h.col = r.col GROUP BY 1) SELECT few.way, round(m.pop, 6) AS pop FROM few LEFT JOIN m ON few.way = m.way""")
 def line_raster_means(t: Tables) -> DataFrame:
-    """The raster under a line, if it is not too long."""
-    s = segments(t).where("way < 300").withColumn("len", F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0")))
+    """The raster under a line, if it is not too long, for the lines that its SQL names."""
+    return _line_raster_means(t, segments(t).where("way < 300"))
+
+
+@query()
+def line_raster_means_all(t: Tables) -> DataFrame:
+    """The raster under every line that is not too long."""
+    return _line_raster_means(t, segments(t))
+
+
+def _line_raster_means(t: Tables, lines: DataFrame) -> DataFrame:
+    s = lines.withColumn("len", F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0")))
     return P.line_means(s, raster(t), ["way"], "pop", "len", 0.3).select("way", F.round("pop", 6).alias("pop"))
 
 

@@ -55,3 +55,8 @@ def test_all_elements(spark, name, tables, filters):
 
 def test_arithmetic_of_all_rows(spark, data):
     same(spark, data, "row_arithmetic_all", without("row_arithmetic", " WHERE l_orderkey % 8 = 0"), ["lineitem"])
+
+
+def test_raster_under_all_lines(spark):
+    got = same(spark, SMALL, "line_raster_means_all", without("line_raster_means", " WHERE way < 300"), ["customer"])
+    assert max(r["way"] for r in got) >= 300

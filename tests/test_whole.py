@@ -60,3 +60,13 @@ def test_arithmetic_of_all_rows(spark, data):
 def test_raster_under_all_lines(spark):
     got = same(spark, SMALL, "line_raster_means_all", without("line_raster_means", " WHERE way < 300"), ["customer"])
     assert max(r["way"] for r in got) >= 300
+
+
+@pytest.mark.parametrize("name,tables,filters", [
+    ("region_rollup", ["orders", "customer", "nation", "region"], [" WHERE o_orderdate < '1995-03-01'"]),
+    ("normalized_series", ["orders", "customer"], [" WHERE o_orderdate < '1995-04-01'"]),
+    ("standardized", ["part"], [" WHERE p_partkey % 10 = 0"]),
+])
+def test_all_days_and_parts(spark, data, name, tables, filters):
+    got = same(spark, data, f"{name}_all", without(name, *filters), tables)
+    assert len(got) > len(QUERIES[name](spark, data).collect())

@@ -145,7 +145,9 @@ def fit_curves(series: DataFrame, group: str, x: str, y: str, first: float, last
         return pd.DataFrame({group: [key[0]], "curve": [name], "params": [best.tolist()], "mse": [error], "success": [ok]})
 
     kind = series.schema[group].dataType.simpleString()
-    fitted = pairs.groupBy(group, "curve").applyInPandas(fit, f"{group} {kind}, curve string, params array<double>, mse double, success boolean")
+    # Few bytes and much work: a number given here is not coalesced.
+    spread = pairs.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "curve")
+    fitted = spread.groupBy(group, "curve").applyInPandas(fit, f"{group} {kind}, curve string, params array<double>, mse double, success boolean")
     spans = work.groupBy(group).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     return fitted.join(spans, group).withColumn("asymptote", by_curve(lambda c, p: c.asymptote(p))).withColumn("end_x", by_curve(lambda c, p: c.end(p, F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
 

@@ -123,14 +123,14 @@ _AXIS = [d * 86400.0 / 1e9 for d in (9131, 11688)]
 @query()
 def fitted_curves(t: Tables) -> DataFrame:
     """All curves by group; rows only, as a simplex search has no SQL."""
-    fits = M.fit_curves(cumulative(t), "grp", "x", "y", *_AXIS, most=2000)
+    fits = M.fit_curves(cumulative(t), "grp", "x", "y", *_AXIS)
     return fits.select("grp", "curve", "params", "mse", "success", "asymptote", S.from_axis("end_x").alias("finished"))
 
 
 @query()
 def fitted_choice(t: Tables) -> DataFrame:
     """The best curve by group and what it says of completeness."""
-    fits = M.fit_curves(cumulative(t), "grp", "x", "y", *_AXIS, curves=("sigmoid", "gompertz", "sigmoid_1_jumps"), most=2000)
+    fits = M.fit_curves(cumulative(t), "grp", "x", "y", *_AXIS)
     best = M.best_fit(fits.withColumn("ordinal", F.col("curve")), ["grp"])
     return M.fit_summary(best, cumulative(t), "grp", "x", "y", *_AXIS).select("grp", "curve", "mse", "asymptote", "x_now", "y_now", "share_model", "share_fit")
 
@@ -138,8 +138,8 @@ def fitted_choice(t: Tables) -> DataFrame:
 @query()
 def fitted_by_class(t: Tables) -> DataFrame:
     """Fits by region and class in one key."""
-    from growthlens.plans.aggregates import region_rollup
+    from growthlens.plans.aggregates import region_rollup_all
 
-    rows = region_rollup(t).select(F.concat_ws("_", "region", "klass").alias("key"), S.to_axis("dt").alias("x"), "dt", "v")
+    rows = region_rollup_all(t).select(F.concat_ws("_", "region", "klass").alias("key"), S.to_axis("dt").alias("x"), "dt", "v")
     run = F.sum("v").over(Window.partitionBy("key").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0))
-    return M.fit_curves(rows.withColumn("y", run / 1e9), "key", "x", "y", *_AXIS, curves=("line", "sigmoid"), most=400).select("key", "curve", "params", "mse", "success")
+    return M.fit_curves(rows.withColumn("y", run / 1e9), "key", "x", "y", *_AXIS).select("key", "curve", "params", "mse", "success")

@@ -95,7 +95,7 @@ def sampled_model(t: Tables) -> DataFrame:
     """Draws by chain; rows only."""
     k = F.col("s_suppkey")
     p = t.supplier.select((F.col("s_nationkey") + 1).cast("long").alias("cid"), (k % 7).cast("double").alias("present"), (k % 7 + k % 3).cast("double").alias("total"), (F.col("s_acctbal") / 5000 - 1).alias("x"))
-    return H.sample_model(p, chains=2, iterations=60)
+    return H.sample_model(p, chains=10, iterations=1000)
 
 
 @query("""WITH r AS (SELECT c_nationkey AS g, c_custkey, CAST(c_custkey % 10 AS DOUBLE) AS m FROM customer WHERE c_custkey % 10 > 0), s AS (SELECT *, sum(m) OVER (PARTITION BY g ORDER BY c_custkey) AS hi, sum(m) OVER (PARTITION BY g) AS total FROM r),

@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from growthlens import catalogue
+from growthlens.functions.curves import CURVES
+from growthlens.operators import fitting
 from tests.test_queries import rows
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -70,3 +72,21 @@ def test_raster_under_all_lines(spark):
 def test_all_days_and_parts(spark, data, name, tables, filters):
     got = same(spark, data, f"{name}_all", without(name, *filters), tables)
     assert len(got) > len(QUERIES[name](spark, data).collect())
+
+
+@pytest.mark.parametrize("name", ["fitted_curves", "fitted_choice", "fitted_by_class"])
+def test_fits_of_all_curves_at_full_budget(spark, data, monkeypatch, name):
+    seen, fit = [], fitting.fit_curves
+
+    def watched(*args, curves=tuple(CURVES), most=20_000, **more):
+        seen.append((len(curves), most))
+        return fit(*args, curves=curves, most=most, **more)
+
+    monkeypatch.setattr(fitting, "fit_curves", watched)
+    QUERIES[name](spark, data)
+    assert seen == [(8, 20_000)]
+
+
+def test_all_chains(spark, data):
+    got = QUERIES["sampled_model"](spark, data).groupBy("cid").count().collect()
+    assert {r["count"] for r in got} == {10 * 100}  # ten chains, the second half of 1,000 iterations, every fifth

@@ -21,7 +21,9 @@ Ties go to the smallest id. Repeated rows are copies of each other.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,28 @@ from growthlens.llm import textops as T
 from growthlens.llm.tables import discard, materialize, small_batches
 
 SYMBOLS = 64
-#: Chunks of the signature; with MAX_DISTANCE they leave one error a chunk to enumerate.
-CHUNKS = 12
-#: 23 of 64: texts of similarity 0.85 differ in more symbols once in some 50,000 pairs.
-MAX_DISTANCE = 23
+#: Similarity, in percent, from which texts are linked.
+PERCENT = 85
+#: Chance with which a pair of exactly the similarity may differ in more symbols than are searched.
+MISSED = 1 / 50_000
+
+
+@functools.cache
+def limits(percent: int) -> tuple[int, int]:
+    """Most symbols in which a candidate pair differs, and the chunks that leave one error a chunk to enumerate: 23 and 12 for 85, 27 and 14 for 80."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"{percent} is no percentage")
+    p, tail, most = 1 - percent / 100, 0.0, SYMBOLS
+    while tail + (more := math.comb(SYMBOLS, most) * p**most * (1 - p) ** (SYMBOLS - most)) <= MISSED and most > 1:
+        tail += more
+        most -= 1
+    chunks = most // 2 + 1
+    if SYMBOLS // chunks < 3:
+        raise ValueError(f"{SYMBOLS} symbols do not cover a similarity of {percent} percent")
+    return most, chunks
+
+
+MAX_DISTANCE, CHUNKS = limits(PERCENT)
 
 #: Members of a key that one task compares with as many others.
 BLOCK = 2048
@@ -100,12 +120,13 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @T.tidy
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
             sig = part.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16)
-            keys = chunk_keys(sig.reshape(part.num_rows, SYMBOLS))
+            most, chunks = limits(percent)
+            keys = chunk_keys(sig.reshape(part.num_rows, SYMBOLS), chunks, most)
             ids = np.repeat(part.column("rep").to_numpy(zero_copy_only=False), keys.shape[1])
             slot = np.tile(np.arange(keys.shape[1], dtype=np.int32), part.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(slot), pa.array(ids)], names=["key", "slot", "rep"])
@@ -161,14 +182,13 @@ def distance(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda s, v: s + v)
 
 
-_EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).astype(int)
-_CHUNK = np.searchsorted(_EDGES, np.arange(SYMBOLS), "right") - 1
-
-
 def _pairs_of_key(group: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one key, or of two blocks of it, that are within the distance and meet here first."""
     rep, comp, n, shared, sig, slot = (group[c] for c in ("rep", "comp", "n_shingles", "shared", "sig", "slot"))
     out_a, out_b = [], []
+    most_errors, chunks = limits(percent)
+    edges = np.linspace(0, SYMBOLS, chunks + 1).astype(int)
+    chunk_of = np.searchsorted(edges, np.arange(SYMBOLS), "right") - 1
     cross = group["bi"][0] != group["bj"][0]
     for lo in range(0, len(rep), 64):
         x, y = np.arange(lo, min(lo + 64, len(rep)))[:, None], np.arange(len(rep))[None, :]
@@ -180,13 +200,13 @@ def _pairs_of_key(group: dict[str, np.ndarray], percent: int) -> tuple[np.ndarra
         i += lo
         for at in range(0, len(i), 1 << 15):
             p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            errors = np.add.reduceat((sig[p] != sig[q]).astype(np.uint8), _EDGES[:-1], axis=1)
-            near = errors.sum(1) <= MAX_DISTANCE
+            errors = np.add.reduceat((sig[p] != sig[q]).astype(np.uint8), edges[:-1], axis=1)
+            near = errors.sum(1) <= most_errors
             p, q, errors = p[near], q[near], errors[near]
-            at_slot, chunk = slot[p], _CHUNK[slot[p]]
+            at_slot, chunk = slot[p], chunk_of[slot[p]]
             first = np.argmax(errors <= 1, axis=1) == chunk
             # Without an error in the chunk, the two meet at all of its keys: the first one counts.
-            first &= (errors[np.arange(len(p)), chunk] > 0) | (at_slot == _EDGES[chunk])
+            first &= (errors[np.arange(len(p)), chunk] > 0) | (at_slot == edges[chunk])
             out_a.append(rep[p[first]])
             out_b.append(rep[q[first]])
     none = np.zeros(0, np.int64)
@@ -253,7 +273,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| over their sets of
@@ -265,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     profiles = materialize(source.mapInArrow(_profiles, "id long, n_shingles long, set_hash binary, sig array<long>"))
     filled = profiles.where("n_shingles > 0 and id is not null")
     reps = materialize(filled.groupBy("set_hash").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("x")).select("set_hash", F.col("x.id").alias("rep"), "x.n_shingles", "x.sig"))
-    keys = reps.select("rep", "sig").mapInArrow(_keys, "key long, slot int, rep long")
+    keys = reps.select("rep", "sig").mapInArrow(lambda it: _keys(it, percent), "key long, slot int, rep long")
     crowd = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     index = materialize(keys.join(crowd, "key"))
     # A shingle that no other indexed text has is in no intersection: `shared` bounds every one of a text.
@@ -296,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             most = F.least("shared_a", "shared_b")
             met = met.where(100 * most >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
             pairs = met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "sig_a", "sig_b")
-            pairs = materialize(pairs.where(distance("sig_a", "sig_b") <= MAX_DISTANCE).select("a", "b").distinct())
+            pairs = materialize(pairs.where(distance("sig_a", "sig_b") <= limits(percent)[0]).select("a", "b").distinct())
         tried = pairs
         ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
         texts = materialize(source.join(ids, "id", "left_semi"))  # plain tables on both sides let Spark split a leader of many pairs

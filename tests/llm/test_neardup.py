@@ -75,3 +75,23 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["u"]: r["v"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_pairs_at_lower_similarity(spark):
+    """A pair of similarity 0.80 is linked at 80 percent though its signatures differ in more symbols than are searched at 85."""
+    texts = [f"a{i} b c d e f g h i j k l {end}{i}" for i in range(6000) for end in "xy"]
+    sets, lead = textops.shingles(*textops.flat(pa.array(texts)))
+    sig = neardup.signature(sets, lead)
+    errors = (sig[::2] != sig[1::2]).sum(1)
+    far = np.flatnonzero((errors > neardup.limits(85)[0]) & (errors <= neardup.limits(80)[0]))[:2].tolist()
+    assert far
+    for i in far:
+        rows = [(0, texts[2 * i]), (1, texts[2 * i + 1])]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+        assert got == brute(rows, 80) and got[1][1] == 0
+
+
+def test_limits():
+    assert neardup.limits(85) == (23, 12) and neardup.limits(80) == (27, 14)
+    with pytest.raises(ValueError):
+        neardup.limits(50)

@@ -12,13 +12,16 @@ starts anywhere else too. Finding the repeated windows takes four steps:
 3. Shards. A shard lays its contexts end to end, sorts their suffixes by
    Larsson-Sadakane refinement, and gets common prefixes by Kasai's rule; neighbours with a common prefix of `length` bytes are repeated windows.
    A group of contexts that outgrows a shard is cut into several, which are merged by
-   binary search of the windows of one among the sorted windows of the other.
+   binary search of the windows of one among the sorted windows of the other. Shards
+   that have no group in common are never searched in each other.
 4. Spans. Repeated windows are laid back on the documents and merged.
 
 A gram in very many different contexts, as at the edges of a common passage, would
 make one large group. Its windows are split by how far they start before the anchor,
 doubling from step to step, and go by a hash of the bytes that all windows of a step
-share; so only windows that agree in most bytes still meet.
+share; so only windows that agree in most bytes still meet. Where more than `crowd`
+different texts share even those, no task can hold them all: their windows, of which a
+text has fewer than `length`, go one by one by a hash of their own bytes.
 
 Null texts count as empty. Equal texts of at least `length` bytes vanish as a whole, and
 texts that are shorter never change. Rows are told apart by id and a hash of the text,
@@ -42,6 +45,8 @@ LENGTH = 400
 GRAM = 128
 #: Different contexts of a gram beyond which its windows are split by distance and content.
 MANY_CONTEXTS = 256
+#: Different texts of one key that a task sorts; windows of a key that has more are dealt one by one.
+CROWD = 512
 #: Bytes of contexts sorted at once; positions and ranks must fit in 20 bits each.
 SHARD_BYTES = 1 << 18
 #: Bytes of contexts that one task sorts, shard by shard; plans shaped by compressed bytes would make tasks uneven.
@@ -257,8 +262,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeats(groups: list[list[bytes]], length: int, limit: int) -> Iterator[tuple[int, int, int, int]]:
     """For texts in groups: (group, text, start, end) of the bytes that repeated windows cover.
 
-    Groups are packed into shards; a group beyond the limit gets shards of its own, each
-    of which is searched in all others.
+    Groups are packed into shards; those that a group is cut into are searched in each other.
     """
     texts = [(g, i, t) for g, group in enumerate(groups) for i, t in enumerate(group)]
     shards: list[list[tuple[int, int, bytes]]] = [[]]
@@ -271,9 +275,10 @@ def repeats(groups: list[list[bytes]], length: int, limit: int) -> Iterator[tupl
         size += len(item[2])
     built = [Shard([t for _, _, t in part], length) for part in shards]
     flags = [s.repeated() for s in built]
+    spans = [(part[0][0], part[-1][0]) if part else (1, 0) for part in shards]
     for a in range(len(built)):
         for b in range(len(built)):
-            if a != b:
+            if a != b and max(spans[a][0], spans[b][0]) <= min(spans[a][1], spans[b][1]):
                 flags[a] |= built[a].found_in(built[b])
     for part, shard, flag in zip(shards, built, flags, strict=True):
         first, end = _runs(flag)
@@ -313,6 +318,25 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int, limit: int) -
         yield solve()
 
 
+@T.tidy
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each window of each text (s1, s2): two hashes of it, and its place."""
+    for batch in batches:
+        for a, b in T.slices(batch, "bytes"):
+            part = batch.slice(a, b - a)
+            data, offsets = T.flat(part.column("bytes"))
+            prefix = T.prefix_hash(data)
+            count = np.maximum(np.diff(offsets) - length + 1, 0)
+            row = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = offsets[row] + at
+            second = np.zeros(len(row), np.uint64)
+            for k in range(8):  # hashed by eighths, as contexts are
+                second = T.mix(second ^ T.span_hash(prefix, start + length * k // 8, start + length * (k + 1) // 8))
+            columns = [pa.array(T.span_hash(prefix, start, start + length).view(np.int64)), pa.array(second.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in ("s1", "s2")), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "s1", "s2", "at"])
+
+
 # ---- whole tables ----------------------------------------------------------
 
 
@@ -363,11 +387,19 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
-    """Columns key, nth, spans of the rows of `rows(key, nth, text)` that have repeated windows; spans may overlap."""
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int | None = None, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES, crowd: int = CROWD) -> DataFrame:
+    """Columns key, nth, spans of the rows of `rows(key, nth, text)` that have repeated windows; spans may overlap.
+
+    Grams have GRAM bytes, or half a window where that is less.
+    """
+    gram = min(GRAM, length // 2) if gram is None else gram
     long_ = rows.where(F.octet_length("text") >= length).select(F.col("key").alias("doc"), "nth", "text")
     schema = "doc long, nth long, start long, size int, gram long, at int, c1 long, c2 long"
-    members = materialize(long_.mapInArrow(lambda it: _anchor_rows(it, length, gram), schema))
+    every = materialize(long_.mapInArrow(lambda it: _anchor_rows(it, length, gram), schema))
+    # A gram that occurs once has nothing to tell; most do, so only their hashes are shuffled to find that out.
+    again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    members = materialize(every.join(again, "gram", "left_semi"))
+    discard(every)
     # One row a context, with the first of its places: all of them hold the same bytes. Copies fold before they are shuffled.
     classes = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "nth", "start", "size", "at"))))
     kinds = materialize(classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1"))
@@ -386,27 +418,33 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     split = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("p")).withColumn("part", F.expr("substring(bytes, p.off + 1, p.size)"))
     # What several contexts share of a step is one text, as contexts are: counted once, and searched once.
     pieces = materialize(split.select("p.key", F.xxhash64("part", F.lit(1)).alias("s1"), F.xxhash64("part", F.lit(2)).alias("s2"), "c1", "c2", "p.off", "p.size").distinct())
-    shared = pieces.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2", "off", "size")).alias("one"))
-    meet = shared.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    chosen = shared.join(meet, "key").select("key", "s1", "s2", "one.*")
+    shared = materialize(pieces.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2", "off", "size")).alias("one")))
+    meet = shared.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    chosen = shared.join(meet, "key").select("key", "kinds", "s1", "s2", "one.*")
     bytes_of = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes")
-    far_apart = chosen.join(bytes_of, ["c1", "c2"]).select("key", F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.expr("substring(bytes, off + 1, size)").alias("bytes"))
+    far_apart = materialize(chosen.join(bytes_of, ["c1", "c2"]).select("key", "kinds", F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.expr("substring(bytes, off + 1, size)").alias("bytes")))
     load = kinds.agg(F.sum("bytes")).first()[0] or 0
     shards = max(int(_partitions(rows)), -(-load // TASK_BYTES))
     search = lambda df: df.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(lambda it: _sorted_shards(it, length, limit), "c1 long, c2 long, lo int, hi int")
+    # Texts of a crowded key share all but a few bytes: windows fold in every task before they are shuffled, and plain tables let Spark split a window of many texts.
+    windows = materialize(far_apart.where(F.col("kinds") > crowd).select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), "bytes").mapInArrow(lambda it: _windows(it, length), "w1 long, w2 long, s1 long, s2 long, at int"))
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    crowded = windows.join(twice, ["w1", "w2"], "left_semi").select("s1", "s2", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     owners = pieces.select(F.col("s1"), F.col("s2"), "c1", "c2", "off", "size")
-    found = search(far_apart).withColumnsRenamed({"c1": "s1", "c2": "s2"}).unionByName(shared.where("n > 1").select("s1", "s2", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))).distinct()
+    sorted_ = search(far_apart.where(F.col("kinds") <= crowd).select("key", "c1", "c2", "bytes")).withColumnsRenamed({"c1": "s1", "c2": "s2"})
+    found = sorted_.unionByName(crowded).unionByName(shared.where("n > 1").select("s1", "s2", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))).distinct()
     of_pieces = found.join(owners, ["s1", "s2"]).select("c1", "c2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
     whole = classes.where("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
     partial = search(few).unionByName(of_pieces)
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
+    discard(classes, kinds, texts, pieces, shared, far_apart, windows)
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
     spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
-    discard(members, classes, kinds, texts, pieces, covers)
+    discard(members, covers)
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, with_text: bool = False, keep: tuple[str, ...] = (), gram: int = GRAM, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, with_text: bool = False, keep: tuple[str, ...] = (), gram: int | None = None, many: int = MANY_CONTEXTS, limit: int = SHARD_BYTES, crowd: int = CROWD) -> DataFrame:
     """One row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text if asked for, and keep_<column> for each column of `keep`.
 
     With `whole_characters` a character is removed only if all its bytes are covered.
@@ -414,7 +452,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     rows = rows.select("id", F.coalesce("id", F.lit(0).cast("long")).alias("key"), F.xxhash64("text").alias("nth"), "text", *(f"keep_{c}" for c in keep))
-    spans = repeated_spans(rows.select("key", "nth", "text"), length, gram, many, limit)
+    spans = repeated_spans(rows.select("key", "nth", "text"), length, gram, many, limit, crowd)
     joined = rows.join(spans, ["key", "nth"], "left")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = joined.mapInArrow(lambda it: _strip(it, whole_characters, with_text, keep), schema).drop(*([] if with_text else ["kept_text"]))

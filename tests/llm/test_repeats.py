@@ -43,8 +43,8 @@ def test_shard_and_merge(seed):
         assert got == want
 
 
-@pytest.mark.parametrize("length,gram,many,limit", [(20, 8, 1, 200), (20, 8, 256, 1 << 19), (33, 16, 2, 500)])
-def test_documents(spark, length, gram, many, limit):
+@pytest.mark.parametrize("length,gram,many,limit,crowd", [(20, 8, 1, 200, 512), (20, 8, 256, 1 << 19, 512), (33, 16, 2, 500, 512), (20, 8, 1, 200, 2), (33, None, 1, 500, 1)])
+def test_documents(spark, length, gram, many, limit, crowd):
     rng = random.Random(length + many)
     base = "".join(rng.choice("abcdefgh é") for _ in range(70))
     texts = []
@@ -53,7 +53,7 @@ def test_documents(spark, length, gram, many, limit):
         texts.append("".join(rng.choice("ab ") for _ in range(rng.randint(0, 30))) + base[a:b] + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))))
     texts += ["", texts[3], texts[3], "a" * 50, None]
     rows = list(enumerate(texts)) + [(None, texts[5]), (7, texts[7])]
-    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length, gram=gram, many=many, limit=limit).collect()
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length, gram=gram, many=many, limit=limit, crowd=crowd).collect()
     raws = [(t or "").encode() for _, t in rows]
     want = []
     for (i, _), raw, gone in zip(rows, raws, brute(raws, length), strict=True):

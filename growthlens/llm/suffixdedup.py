@@ -397,9 +397,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int | None = Non
     schema = "doc long, nth long, start long, size int, gram long, at int, c1 long, c2 long"
     every = materialize(long_.mapInArrow(lambda it: _anchor_rows(it, length, gram), schema))
     # A gram that occurs once has nothing to tell; most do, so only their hashes are shuffled to find that out.
-    again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    again = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # a plain table, so Spark can split a gram of very many places
     members = materialize(every.join(again, "gram", "left_semi"))
-    discard(every)
+    discard(every, again)
     # One row a context, with the first of its places: all of them hold the same bytes. Copies fold before they are shuffled.
     classes = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "nth", "start", "size", "at"))))
     kinds = materialize(classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1"))
@@ -428,7 +428,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int | None = Non
     search = lambda df: df.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(lambda it: _sorted_shards(it, length, limit), "c1 long, c2 long, lo int, hi int")
     # Texts of a crowded key share all but a few bytes: windows fold in every task before they are shuffled, and plain tables let Spark split a window of many texts.
     windows = materialize(far_apart.where(F.col("kinds") > crowd).select(F.col("c1").alias("s1"), F.col("c2").alias("s2"), "bytes").mapInArrow(lambda it: _windows(it, length), "w1 long, w2 long, s1 long, s2 long, at int"))
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
     crowded = windows.join(twice, ["w1", "w2"], "left_semi").select("s1", "s2", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     owners = pieces.select(F.col("s1"), F.col("s2"), "c1", "c2", "off", "size")
     sorted_ = search(far_apart.where(F.col("kinds") <= crowd).select("key", "c1", "c2", "bytes")).withColumnsRenamed({"c1": "s1", "c2": "s2"})
@@ -437,7 +437,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int | None = Non
     whole = classes.where("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
     partial = search(few).unionByName(of_pieces)
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
-    discard(classes, kinds, texts, pieces, shared, far_apart, windows)
+    discard(classes, kinds, texts, pieces, shared, far_apart, windows, twice)
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
     spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
     discard(members, covers)

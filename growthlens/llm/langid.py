@@ -18,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
-from growthlens.llm.tables import small_batches
+from growthlens.llm.tables import materialize, small_batches
 
 DIMENSIONS = 1 << 14
 #: Documented bound on the labelled rows that the weights are fitted on, and on the bytes of their texts.
 SAMPLE_ROWS = 4000
+#: Rows of a language that the sample has at least, where there are as many.
+LEAST_ROWS = 50
 SAMPLE_BYTES = 32 << 20
 EPOCHS = 4
 UNKNOWN = "und"
@@ -197,15 +199,16 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(best, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model of `labelled`; None if no row has a label and a text.
 
-    Document frequencies are those of all rows. The weights see the first
-    `sample_rows` rows by `order` (a hash of the row's text and label unless
-    given), of texts of at most `sample_bytes / sample_rows * 16` bytes each.
+    Document frequencies are those of all rows. The weights see about `sample_rows`
+    distinct rows, those of least hash in proportion, but LEAST_ROWS of each language
+    where there are as many, and never more than twice `sample_rows`; their texts have at
+    most `sample_bytes / sample_rows * 16` bytes each. Copies count once.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"), (F.xxhash64(text_col, label_col) if order is None else order).alias("o"))
+    rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
     df = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     total = df.pop(-1, 0)
     if not total:
@@ -213,11 +216,18 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     counts = np.zeros(DIMENSIONS)
     counts[list(df)] = list(df.values())
     idf = np.log((1 + total) / (1 + counts)) + 1
-    small = rows.where(F.octet_length("text") <= sample_bytes // sample_rows * 16)
-    edge = small.select("o").orderBy("o").limit(sample_rows).agg(F.max("o")).first()[0]
-    if edge is None:
+    small = rows.where(F.octet_length("text") <= sample_bytes // sample_rows * 16).withColumn("o", F.xxhash64("text", "lang"))
+    # A row a language, no more than there are labels.
+    kinds = materialize(small.select("lang", "o").distinct().groupBy("lang").agg(F.count("*").alias("n")))
+    distinct = kinds.agg(F.sum("n")).first()[0]
+    if not distinct:
         return None
-    sample = small.where(F.col("o") <= F.lit(edge)).orderBy("o", "lang").limit(sample_rows).select("lang", "text").mapInArrow(_sparse, "lang string, features array<smallint>, counts array<smallint>").collect()
+    share = kinds.select("lang", F.greatest(F.lit(sample_rows / distinct), LEAST_ROWS / F.col("n")).alias("share"))
+    near = small.join(share, "lang").where(F.pmod("o", F.lit(1 << 53)) < F.col("share") * float(1 << 53)).groupBy("o").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    sample = near.orderBy("o", "lang").limit(2 * sample_rows).select("lang", "text").mapInArrow(_sparse, "lang string, features array<smallint>, counts array<smallint>").collect()
+    if not sample:
+        return None
+    sample.sort(key=lambda r: (r["lang"], r["features"], r["counts"]))
     languages = sorted({r["lang"] for r in sample})
     target = np.array([languages.index(r["lang"]) for r in sample])
     return train([(np.array(r["features"], np.int64), np.array(r["counts"], np.float64)) for r in sample], target, languages, idf)

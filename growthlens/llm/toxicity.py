@@ -88,7 +88,7 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, change: np.ndarray
     if not n:
         return np.zeros((0, 2)), np.zeros((0, 2))
     weight = _lanes(np.exp(np.clip(emission, -30, 30)), 1.0)
-    fresh = _lanes(first, 0.0) > 0
+    fresh = _lanes(first, 1.0) > 0  # what fills up the last lane is no part of the last chain
     step = np.empty((2, 2, *weight.shape))
     for i in (0, 1):
         for j in (0, 1):
@@ -283,13 +283,13 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model | None, keep: tuple[s
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_text: int = SAMPLE_TEXT) -> Model | None:
-    """A model of the rows of `labels`, which has one row for each labelled id; None without both kinds."""
+    """A model of the rows of `labels`; None without both kinds. An id, or a text, that has both labels counts as toxic."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     picks = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(n) for kind, n in ((1, sample_toxic), (0, sample_clean))]
-    sample = picks[0].unionByName(picks[1]).dropDuplicates(["id"])  # bounded by its limits, so it may be broadcast
+    sample = picks[0].unionByName(picks[1])  # bounded by its limits, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= sample_text)
-    rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["text"]).select("toxic", "text")
+    rows = texts.join(F.broadcast(sample), "id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
     table = rows.mapInArrow(_features, "toxic int, x binary").toArrow()
     got = sorted(zip(table.column("toxic").to_pylist(), table.column("x").to_pylist(), strict=True))
     del table

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from growthlens.llm.quality import BOILERPLATE, MAX_REPEAT, MENU, MIN_LEFT, MIN_WORDS, NAV_WORDS, SHORT_LINE
+from growthlens.llm.quality import BOILERPLATE, CLOSING, MAX_REPEAT, MENU, MIN_LEFT, MIN_WORDS, NAV_WORDS, SHORT_LINE
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,7 +24,7 @@ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_
 r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(0, 5) k(j) WHERE c > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, line, regexp_extract_all(line, '{_WORD}') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
 f AS (SELECT doc_id, line, list_sum(list_transform(lw, lambda x: length(x))) AS chars,
-   (len(lw) < {SHORT_LINE} AND NOT (regexp_matches(lw[-1], '[.!?:;"'')\\]}}*%&$#]$') OR unicode(lw[-1][-1]) > 127))
+   (len(lw) < {SHORT_LINE} AND NOT contains({_text(CLOSING)}, right(lw[-1], 1)))
    OR (len(lw) <= {NAV_WORDS} AND 2 * len(list_filter(lw, lambda x: {_lower('x')} IN ({_MENU}))) >= len(lw)) OR {_BOILER} AS gone FROM l),
 s AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE gone) AS n_gone, coalesce(sum(chars) FILTER (WHERE gone), 0) AS lost FROM f GROUP BY doc_id),
 x AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(s.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,

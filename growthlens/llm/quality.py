@@ -3,7 +3,7 @@
 A line is a part of the text between line feeds. One without a word is left as it
 is and breaks no rule. A line with words is dropped if it breaks one of these:
 
-* punctuation: fewer than SHORT_LINE words and no closing mark at the end;
+* punctuation: fewer than SHORT_LINE words and none of the CLOSING characters at the end;
 * navigation: at most NAV_WORDS words, at least half of them menu words or separators;
 * boilerplate: it holds one of the BOILERPLATE phrases, in any letter case of A-Z.
 
@@ -30,14 +30,12 @@ MAX_REPEAT = 20
 SHORT_LINE = 4
 NAV_WORDS = 12
 MIN_LEFT = 0.5
-#: Closing marks as the last byte of a line; 0x80-0xBF ends a closing quote or a mark of another script.
-CLOSING = b".!?:;\"')]}*%&$#"
+#: Characters that close a line: full stops, questions, exclamations, colons, ellipses, and closing quotes and brackets of many scripts.
+CLOSING = ".!?:;\"')]}\u00bb\u2019\u201c\u201d\u2026\u203a\u0589\u05c3\u061b\u061f\u06d4\u0964\u0965\u0f0d\u104b\u1362\u17d4\u3002\u3009\u300b\u300d\u300f\u3011\uff01\uff09\uff0e\uff1a\uff1b\uff1f\uff61\uff63"
 MENU = (b"home", b"menu", b"login", b"logout", b"search", b"contact", b"about", b"next", b"previous", b"sitemap", b"share", b"subscribe", b"register", b"help", b"faq", b"|", b">", b"<", b"/", b"-", b"\xc2\xbb", b"\xc2\xab", b"\xc2\xb7", b"\xe2\x80\xba", b"\xe2\x80\xa2")
 BOILERPLATE = (b"all rights reserved", b"privacy policy", b"terms of use", b"terms of service", b"cookie policy", b"uses cookies", b"enable javascript", b"javascript is disabled", b"lorem ipsum", b"click here to", b"powered by", b"sign up for our newsletter", b"subscribe to our")
 
-_CLOSES = np.zeros(256, bool)
-_CLOSES[list(CLOSING)] = True
-_CLOSES[128:192] = True
+_CLOSES = np.array(sorted(map(ord, CLOSING)))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -64,6 +62,19 @@ def repeated(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return twice, later
 
 
+def last_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code point of the UTF-8 character whose last byte is at each place."""
+    point = data[at].astype(np.int64)
+    rest = point >= 0x80  # the last byte of a longer character
+    point[rest] &= 0x3F
+    for k, bits in ((1, 0x1F), (2, 0x0F), (3, 0x07)):
+        byte = data[np.maximum(at - k, 0)].astype(np.int64)
+        more = rest & (byte & 0xC0 == 0x80)
+        point += np.where(rest, (byte & np.where(more, 0x3F, bits)) << 6 * k, 0)
+        rest = more
+    return point
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Figures of each document, and under "drop", "line_start", "line_end" and "line_doc" the lines."""
     n_docs = len(offsets) - 1
@@ -96,7 +107,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     count = last - first
     lowered = T.LOWER[data]
-    closed = _CLOSES[data[end[last - 1] - 1]] if len(last) else np.zeros(0, bool)
+    closed = np.isin(last_points(data, end[last - 1] - 1), _CLOSES) if len(last) else np.zeros(0, bool)
     drop = (count < SHORT_LINE) & ~closed
     nav = np.concatenate([[0], np.cumsum(_isin(T.span_hash(T.prefix_hash(lowered), start, end), _MENU_HASHES))]) if len(start) else np.zeros(1, np.int64)
     drop |= (count <= NAV_WORDS) & (2 * (nav[last] - nav[first]) >= count)

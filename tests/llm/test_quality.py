@@ -46,3 +46,12 @@ def test_lines_and_verdict(spark):
     assert out[1]["clean_text"] == f"{good}\n{other}\n" and out[1]["kept"]
     assert not out[2]["kept"] and out[2]["n_lines_dropped"] >= 3
     assert out[3]["kept"] and out[3]["clean_text"] == good
+
+
+def test_closing_marks_of_many_scripts(spark):
+    """A short line needs a closing mark; a letter of another script is none."""
+    closed = ["Fin.", "\u00bfQu\u00e9?", "\u7d42\u308f\u308a\u3002", "dit \u00aboui\u00bb", "\u0645\u0627\u0630\u0627\u061f", "\u201eja\u201c", "\u0938\u092e\u093e\u092a\u094d\u0924\u0964"]
+    open_ = ["Caf\u00e9", "\u0421\u043f\u043e\u0440\u0442 \u041d\u043e\u0432\u043e\u0441\u0442\u0438", "\u65e5\u672c\u8a9e", "\u0391\u03b8\u03ae\u03bd\u03b1", "Home page", "wow ***", "50%", "\U0001f600", "\u00ab", "a\u0300"]
+    rows = list(enumerate([*closed, *open_]))
+    got = {r["doc_id"]: r["n_lines_dropped"] for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [0] * len(closed) + [1] * len(open_)

@@ -1,16 +1,20 @@
 """Shards along a Hilbert curve over quantised metadata.
 
-Language, source and size are quantised to BITS bits each; the cell a row falls in
-has a place on the Hilbert curve through all cells, and rows are ordered by that place
-(then by text, so that equal texts of a cell lie together). The order is cut into runs
-of equal numbers of rows: law `rows`, counts at most one apart. Neighbouring cells of
-the curve share ranges of every dimension, so a shard spans few values of each, which
-lets readers skip files by their least and greatest values.
+Language, source and size are quantised to BITS bits each, in their own order and by the
+rows they hold: a text dimension is cut at its most frequent values, and all others fall
+between them; a class has about a 2**BITS-th of the rows, or is one value of more. The
+cell a row falls in has a place on the Hilbert curve through all cells, and rows are
+ordered by that place. The order is cut into runs of equal numbers of rows: law `rows`,
+counts at most one apart. Neighbouring cells of the curve share ranges of every
+dimension, so a shard spans few values of each, which lets readers skip files by their
+least and greatest values.
 
 Places in the order are exact and no task sees more than a part of a cell: cells hold
-at most 2**(3 * BITS) rows of counts, a cell is split by bytes of text checksum and id
-hash, and only counts are summed up along the curve. Nulls quantise to 0, null texts
-have checksum 0, and rows that are equal in every column may trade places.
+at most 2**(3 * BITS) rows of counts, a cell is split by the first byte of the text
+checksum and a hash of the id into more parts the more rows there are, and only counts
+are summed up along the curve. So equal texts of a cell lie in a bounded number of runs.
+Nulls come first and quantise to 0, null texts have checksum 0, and rows that are equal in every column
+may trade places. No rows give no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ BITS = 5
 SHARDS = 40
 #: Bytes that a row is counted with beside its text.
 ROW_BYTES = 16
+#: Steps of size that are counted for each doubling, before they are joined to classes.
+FINE = 16
+#: Rows for which the parts of a cell are doubled and so on, in proportion.
+PART_ROWS = 1 << 24
 
 
 def hilbert_index(dimensions: list[Column], bits: int) -> Column:
@@ -57,27 +65,47 @@ def hilbert_index(dimensions: list[Column], bits: int) -> Column:
     return folded
 
 
-def _class(value: Column) -> Column:
-    """A text dimension as a cell coordinate."""
-    return F.coalesce(F.pmod(F.crc32(value), F.lit(1 << BITS)), F.lit(0)).cast("int")
+def _spread(counts: DataFrame, column: str) -> DataFrame:
+    """One row: an array of the first values of classes, in order, with the number of each class: the share of the rows before it, of 2**BITS."""
+    order = Window.orderBy(F.col(column).asc_nulls_first())
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.select(F.col(column).alias("v"), F.floor(before * (1 << BITS) / F.sum("n").over(Window.partitionBy())).cast("int").alias("class"))
+    return classes.agg(F.sort_array(F.collect_list(F.struct("v", "class"))).alias(f"{column}_bounds"))
+
+
+def _bounds(rows: DataFrame, column: str) -> DataFrame:
+    """The classes of a text dimension: cut at its most frequent values, no more than 2**BITS of them."""
+    return _spread(rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column).limit(1 << BITS), column)
+
+
+def _grades(rows: DataFrame) -> DataFrame:
+    """The classes of size, from the counts of all its fine steps: no more than a long has bits, times FINE."""
+    return _spread(rows.groupBy("fine").agg(F.count("*").alias("n")), "fine")
+
+
+def _class(value: str) -> Column:
+    """The greatest class that begins with no more than the value: 0 for null."""
+    return F.coalesce(F.array_max(F.transform(F.filter(f"{value}_bounds", lambda b: b["v"] <= F.col(value)), lambda b: b["class"])), F.lit(0))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each row of `docs`: id, size, text_crc32, law, shard, slot, curve."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES
-    # Two classes for each doubling of the size.
-    grade = F.least(F.floor(2 * F.log2(size / ROW_BYTES)), F.lit((1 << BITS) - 1)).cast("int")
-    rows = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), size.alias("size"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("crc"), _class(F.col(lang_col)).alias("x"), _class(F.col(source_col)).alias("y"), grade.alias("z"))
-        .withColumn("part", F.shiftright("crc", 24).cast("int") * 16 + F.coalesce(F.pmod(F.xxhash64("id"), F.lit(16)), F.lit(0)).cast("int"))
-    )
-    total = rows.count()
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), size.alias("size"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("crc"), F.col(lang_col).cast("string").alias("x"), F.col(source_col).cast("string").alias("y"), F.floor(FINE * F.log2(size / ROW_BYTES)).cast("int").alias("fine"))
+    seen = materialize(kept)
+    total = seen.count()
+    salts = max(16, total // PART_ROWS)
+    # Three tables of one row each.
+    bounds = _bounds(seen, "x").crossJoin(_bounds(seen, "y")).crossJoin(_grades(seen))
+    cell = (_class("x").alias("x"), _class("y").alias("y"), _class("fine").alias("z"))
+    part = F.shiftright("crc", 24).cast("int") * salts + F.coalesce(F.pmod(F.xxhash64("id"), F.lit(salts)), F.lit(0)).cast("int")
+    rows = seen.crossJoin(F.broadcast(bounds)).select("id", "size", "crc", *cell, part.alias("part"))
     cells = rows.groupBy("x", "y", "z").agg(F.count("*").alias("n")).withColumn("curve", hilbert_index([F.col("x"), F.col("y"), F.col("z")], BITS)).withColumn("stretch", F.shiftright("curve", 2 * BITS - 1))
     stretches = cells.groupBy("stretch").agg(F.sum("n").alias("n")).select("stretch", F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     placed = cells.join(F.broadcast(stretches), "stretch")  # at most 2**(BITS + 1) rows
     run = Window.partitionBy("stretch").orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("x", "y", "z", "curve", (F.col("base") + F.coalesce(F.sum("n").over(run), F.lit(0))).alias("base"))
     # At most 2**(3 * BITS) cells, so this side has a fixed bound.
+    placed = materialize(placed.select("x", "y", "z", "curve", (F.col("base") + F.coalesce(F.sum("n").over(run), F.lit(0))).alias("base")))
     located = rows.join(F.broadcast(placed), ["x", "y", "z"])
     parts = located.groupBy("curve", "part").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

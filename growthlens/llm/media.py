@@ -16,6 +16,7 @@ import hashlib
 import html
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,20 +35,30 @@ PNG_MARK = b"\x89PNG\r\n\x1a\n"
 PNG_RGB8 = bytes((8, 2, 0, 0, 0))
 DEFLATE_LEVEL = 6
 #: Elements whose text is no content, and those that end a run of text.
-SILENT = frozenset(("script", "style", "noscript", "template", "head"))
+SILENT = frozenset(("script", "style", "noscript", "template", "head", "title"))
 BLOCKS = frozenset(("address", "article", "aside", "blockquote", "br", "div", "dd", "dl", "dt", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"))
+#: Fixed values of HTML: what a head may hold, and elements without an end tag.
+HEAD = frozenset(("base", "link", "meta", "noscript", "script", "style", "template", "title"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Elements that no caption holds, so that they end one that was left open.
+SECTIONS = frozenset(("article", "aside", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "main", "nav", "section"))
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "iframe": "frame", "embed": "embed"}
 ITEMS = "array<struct<position: int, kind: string, text: string, ref: string, digest: string>>"
 
 
 class _Interleaved(HTMLParser):
+    """Items in document order. End tags may lack: an element ends with what it stands in, a head with the first element that it cannot hold."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
         self.silent = 0
         self.caption: list[str] | None = None
-        self.figure: list[int] = []
+        #: Of each open figure: its last medium, and a caption that came before any.
+        self.figures: list[list] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -59,48 +70,86 @@ class _Interleaved(HTMLParser):
         digest = ref[7:] if ref and ref.startswith("digest:") else None
         self.items.append({"position": len(self.items), "kind": kind, "text": text, "ref": ref, "digest": digest})
 
+    def _end(self, tag: str) -> None:
+        """Ends the innermost open element of a name and all that was left open in it."""
+        while self.count[tag]:
+            last = self.open.pop()
+            self.count[last] -= 1
+            self.silent -= last in SILENT
+            if last in BLOCKS:
+                self._flush()
+            if last == "figcaption":
+                self._end_caption()
+            if last == "figure":
+                _, said = self.figures.pop()
+                if said:  # a figure of a caption alone
+                    self._add("text", said, None)
+            if last == tag:
+                return
+
+    def _end_caption(self) -> None:
+        said = " ".join("".join(self.caption or ()).split())
+        self.caption = None
+        if not said:
+            return
+        if not self.figures:
+            self._add("text", said, None)
+        elif self.figures[-1][0] is None:
+            self.figures[-1][1] = said
+        else:  # the caption belongs to the medium, not to the text after it
+            self.items[self.figures[-1][0]]["text"] = said
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SILENT:
-            self.silent += 1
+        if self.count["head"] and tag not in HEAD and tag != "html":
+            self._end("head")
+        if tag in SECTIONS and self.count["figcaption"]:
+            self._end("figure" if self.count["figure"] else "figcaption")
         if tag in BLOCKS or tag in MEDIA or tag == "figcaption":
             self._flush()
+        if self.caption is not None:
+            self.caption.append(" " if tag in BLOCKS else "")
+        if tag not in VOID:
+            self.open.append(tag)
+            self.count[tag] += 1
+            self.silent += tag in SILENT
         if tag == "figure":
-            self.figure = []
+            self.figures.append([None, None])
         if tag == "figcaption":
             self.caption = []
         if tag in MEDIA and not self.silent:
             known = dict(attrs)
             if known.get("src"):
-                self.figure.append(len(self.items))
-                self._add(MEDIA[tag], known.get("alt") or known.get("title"), known["src"])
+                said = None
+                if self.figures:
+                    said, self.figures[-1][1] = self.figures[-1][1], None
+                    self.figures[-1][0] = len(self.items)
+                self._add(MEDIA[tag], said or known.get("alt") or known.get("title"), known["src"])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in SILENT:
-            self.silent -= 1
+        if tag not in VOID:
+            self._end(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT and self.silent:
-            self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            self.caption = None
-            if self.figure and said:  # the caption belongs to the medium, not to the text after it
-                self.items[self.figure[-1]]["text"] = said
-            elif said:
-                self._add("text", said, None)
-        elif tag in BLOCKS:
+        self._end(tag)
+        if tag in BLOCKS:  # one without a start parts texts too
             self._flush()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1] == "head" and data.strip():
+            self._end("head")
+        if self.silent:
+            return
         if self.caption is not None:
             self.caption.append(data)
-        elif not self.silent:
+        else:
             self.run.append(data)
 
     def read(self, page: str | None) -> list[dict]:
         self.feed(page or "")
         self.close()
+        while self.open:
+            self._end(self.open[-1])
         self._flush()
         return self.items
 

@@ -115,6 +115,27 @@ def test_interleaving(spark):
     assert [(i["kind"], i["digest"], i["payload_bytes"]) for i in out[4]] == [("text", None, None), ("image", "zz", None)]
 
 
+@pytest.mark.parametrize(
+    "page,items",
+    [
+        ("<html><head><title>x</title><body><p>hi</p><img src=a>", [("hi", None), (None, "a")]),
+        ("<head><title>t</title><meta charset=u><p>one<p>two", [("one", None), ("two", None)]),
+        ("<head>plain<p>more", [("plain", None), ("more", None)]),
+        ("<div><noscript>on<img src=q></div>shown", [("shown", None)]),
+        ("<figure><img src=a><figcaption>said<h2>Title</h2>rest", [("said", "a"), ("Title", None), ("rest", None)]),
+        ("<figure><img src=a><figcaption>said</figure><p>rest", [("said", "a"), ("rest", None)]),
+        ("<figure><img src=a alt=x></figure><figcaption>late</figcaption>", [("x", "a"), ("late", None)]),
+        ("<figure><figcaption>first</figcaption><img src=b></figure>z", [("first", "b"), ("z", None)]),
+        ("<figure><figcaption>alone</figcaption></figure>z", [("alone", None), ("z", None)]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure>", [(None, "a"), ("in", "b")]),
+        ("</head></p></figure>a<br/>b<script>no", [("a", None), ("b", None)]),
+    ],
+)
+def test_pages_that_lack_end_tags(page, items):
+    got = media._Interleaved().read(page)
+    assert [(i["text"], i["ref"]) for i in got] == items and [i["position"] for i in got] == list(range(len(items)))
+
+
 def test_hilbert_curve_is_one_path(spark):
     from pyspark.sql import functions as F
 
@@ -133,6 +154,54 @@ def test_written_shards_prune(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select(*docs.columns).collect()) == sorted(rows)
 
 
+def test_places_row_by_row(spark):
+    """Every shard and slot from a plain sort by curve, part, checksum and id; the classes follow the order of their values."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import xxhash
+
+    rows = [(i, None if i % 17 == 0 else "w " * (i * i % 90), None if i % 23 == 0 else f"l{i % 5}", f"s{i % 70:02d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    size = {i: len((t or "").encode()) + 16 for i, t, _, _ in rows}
+    crc = {i: zlib.crc32((t or "").encode()) for i, t, _, _ in rows}
+
+    fine = {i: int(np.floor(16 * np.log2(s / 16))) for i, s in size.items()}
+
+    def classes(values, most):
+        n = Counter(values)
+        top, before, out = sorted(sorted(n, key=lambda v: (-n[v], v is not None, v))[:most], key=lambda v: (v is not None, v)), 0, []
+        for v in top:
+            out.append((v, before * 32 // sum(n[w] for w in top)))
+            before += n[v]
+        return lambda x: max((c for v, c in out if None not in (v, x) and v <= x), default=0)
+
+    lang_class, source_class, grade = classes([r[2] for r in rows], 32), classes([r[3] for r in rows], 32), classes(fine.values(), 10**6)
+    cell = {i: (lang_class(lang), source_class(s), grade(fine[i])) for i, _, lang, s in rows}
+    cells = spark.createDataFrame(sorted(set(cell.values())), "a int, b int, c int")
+    curve = {(r["a"], r["b"], r["c"]): r["h"] for r in cells.withColumn("h", sharding.hilbert_index([cells.a, cells.b, cells.c], 5)).collect()}
+    # Spark's xxhash64 of a long is that of its eight bytes with seed 42.
+    signed = {i: (h if (h := xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)) < 1 << 63 else h - (1 << 64)) % 16 for i in size}
+    part = {i: (crc[i] >> 24) * 16 + signed[i] for i in size}
+    order = sorted(size, key=lambda i: (curve[cell[i]], part[i], crc[i], i))
+    want, shards = {}, defaultdict(int)
+    for place, i in enumerate(order):
+        k = place * 7 // len(order)
+        want[i] = (k, shards[k], curve[cell[i]])
+        shards[k] += 1
+    got = {r["doc_id"]: (r["shard"], r["slot"], r["curve"]) for r in sharding.assign(docs, shards=7).collect()}
+    assert got == want
+
+
+def test_files_are_skipped(spark, tmp_path):
+    """Shares of the files that a reader needs not open, by their ranges."""
+    rows = [(i, "w " * (i * 7919 % 400), f"l{i % 4}", f"s{i * 31 % 20:02d}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = sharding.write(docs.selectExpr("*", "length(text) as chars"), str(tmp_path / "out"), shards=40).collect()
+    skip = {c: np.mean([[not (r[f"min_{c}"] <= v <= r[f"max_{c}"]) for r in stats] for v in values]) for c, values in (("lang", ["l0", "l1", "l2", "l3"]), ("source", [f"s{i:02d}" for i in range(20)]), ("chars", range(0, 800, 40)))}
+    assert skip["lang"] > 0.4 and skip["source"] > 0.5 and skip["chars"] > 0.4, skip
+
+
 def plain_targets(sizes):
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}

@@ -10,14 +10,18 @@ one fraction at most; the fractions left are blocks of the next level, so residu
 meet in a reduction tree. Every step keeps the words of the source, so a source ends
 within one document of its target.
 
+Rows of one id, source and text are one item with the copies of all of them, dealt out
+evenly in the end; so however often a row repeats, it never crowds a block.
+
 Draws are hashes of id, size and level: reruns agree. Null texts have no words. A
-source without words has target 0; without any words every target is 0. Equal rows are
-rounded apart, but which of them gets a copy cannot be told.
+source without words has target 0; without any words every target is 0. Rows without
+words are taken once where their source is taken whole. No rows give no rows; columns of
+other names and other types do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.llm.tables import materialize
@@ -88,17 +92,16 @@ def _draw(level: int, salt: int):
     return F.pmod(F.xxhash64("id", "size", "crc", F.lit(level), F.lit(salt)), F.lit(1 << 53)) / float(1 << 53)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of `docs`: id, source, size, source_size, target, copies, taken, text_crc32."""
-    rows = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("crc"))
-    )
-    sources = materialize(targets(rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))))
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    placed = rows.alias("r").join(sources.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", F.floor(copies).alias("whole"), (copies - F.floor(copies)).alias("p"))
-    moving = (F.col("p") > 0) & (F.col("size") > 0)
-    decided = placed.where(~moving).select("id", "source", "size", "crc", F.lit(0).alias("take"))
-    level, open_ = 0, placed.where(moving).select("id", "source", "size", "crc", "p")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for all rows of one id, source and text: id, source, size, crc, n (rows), source_size, target, copies (of all of them together)."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("crc"))
+    rows = materialize(keyed.groupBy("id", "source", "size", "crc").agg(F.count("*").alias("n")))
+    sources = materialize(targets(rows.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("size")).alias("source_size"))))
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    placed = rows.alias("r").join(sources.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", (each * F.col("n")).alias("mass"))
+    placed = placed.withColumn("whole", F.when(F.col("size") > 0, F.floor("mass")).otherwise(F.col("n") * F.least(F.floor(each), F.lit(1)))).withColumn("p", F.when(F.col("size") > 0, F.col("mass") - F.floor("mass")).otherwise(F.lit(0.0)))
+    decided = None
+    level, open_ = 0, placed.where("p > 0").select("id", "source", "size", "crc", "p")
     while True:
         many = open_.groupBy("source").agg(F.count("*").alias("n"))
         most = many.agg(F.max("n")).first()[0] or 0
@@ -108,10 +111,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         items = open_.join(blocks, F.col("source").eqNullSafe(F.col("of"))).select("source", F.pmod(F.xxhash64("id", "size", "crc", F.lit(level)), F.col("blocks")).alias("block"), F.struct(F.xxhash64("id", "size", "crc", F.lit(level), F.lit(1)).alias("o"), "id", "size", "crc", "p", _draw(level, 2).alias("u")).alias("item"))
         folded = items.groupBy("source", "block").agg(F.sort_array(F.collect_list("item")).alias("items")).select("source", F.expr(_fold("items")).alias("s"))
         done = materialize(folded.select("source", "s.c", "s.done"))
-        decided = decided.unionByName(done.select("source", F.inline("done")))
+        taken = done.select("source", F.inline("done"))
+        decided = taken if decided is None else decided.unionByName(taken)
         open_ = done.where("c is not null").select("source", "c.id", "c.size", "c.crc", "c.p")
         level += 1
-    decided = decided.unionByName(open_.select("id", "source", "size", "crc", F.when(_draw(level, 3) < F.col("p"), 1).otherwise(0).alias("take")))
-    whole = sources.select(F.col("source").alias("of"), "source_size", "target", F.floor(copies).cast("int").alias("whole"))
-    n = F.when(F.col("size") > 0, F.col("whole") + F.col("take")).otherwise(F.least(F.col("whole"), F.lit(1)))
-    return decided.join(whole, F.col("source").eqNullSafe(F.col("of"))).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"), F.col("crc").alias("text_crc32"))
+    last = open_.select("source", "id", "size", "crc", F.when(_draw(level, 3) < F.col("p"), 1).otherwise(0).alias("take"))
+    decided = (last if decided is None else decided.unionByName(last)).where("take = 1").select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("crc").alias("_crc"), "take")
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("crc") == F.col("_crc"))
+    return placed.join(decided, same, "left").select("id", "source", "size", "crc", "n", "source_size", "target", (F.col("whole") + F.coalesce("take", F.lit(0))).cast("long").alias("copies"))
+
+
+def _share(rows: str, copies: str, before: Column, upto: Column) -> Column:
+    """Copies of the rows (before, upto] of a class whose copies are dealt out evenly, the first rows one more."""
+    rest = F.col(copies) % F.col(rows)
+    return (upto - before) * F.floor(F.col(copies) / F.col(rows)) + F.least(upto, rest) - F.least(before, rest)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each row of `docs`: id, source, size, source_size, target, copies, taken, text_crc32."""
+    each = classes(docs, id_col, text_col, source_col).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    n = _share("n", "copies", F.col("nth") - 1, F.col("nth")).cast("int")
+    return each.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"), F.col("crc").alias("text_crc32"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Each row of `docs`, with all its columns, as often as the mix takes it."""
+    of = classes(docs, id_col, text_col, source_col).groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("crc").alias("_crc")).agg(F.sum("n").alias("_n"), F.sum("copies").alias("_copies")).where("_copies > 0")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.crc32(F.coalesce(text_col, F.lit(""))) == F.col("_crc"))
+    met = docs.join(of, same)
+    alone = met.where("_n = 1").select(*docs.columns, "_copies")
+    # Rows that repeat each other: equal ones fold before they are shuffled, and those that differ in another column share the copies in order.
+    rows = met.where("_n > 1").groupBy("_id", "_source", "_crc", "_n", "_copies", *docs.columns).agg(F.count("*").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy("_id", "_source", "_crc").orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, 0))
+    many = rows.withColumn("_upto", upto).withColumn("_copies", _share("_n", "_copies", F.col("_upto") - F.col("_rows"), F.col("_upto")).cast("long")).where("_copies > 0")
+    both = alone.unionByName(many.select(*docs.columns, "_copies"))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

@@ -13,7 +13,8 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _toxicity(docs):
-    return toxicity.score(docs, None)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
 RUNS = {
@@ -22,6 +23,7 @@ RUNS = {
     "media": lambda d: media.texts_as_media(d),
     "pieces": lambda d: pieces.encode(d, MODEL, digests=True),
     "toxicity": _toxicity,
+    "toxicity without a model": lambda d: toxicity.score(d, None),
     "repeats": lambda d: suffixdedup.remove_repeats(d, length=40, gram=16),
     "mix": lambda d: mixing.mix(d),
     "quality": lambda d: quality.clean_lines(d),
@@ -38,7 +40,7 @@ def test_every_row_once(name, odd, nothing):
 
 
 def test_equal_texts_equal_values(odd):
-    for name in ("language", "media", "pieces", "quality"):
+    for name in ("language", "media", "pieces", "quality", "toxicity"):
         rows = {r["doc_id"]: r.asDict() for r in RUNS[name](odd).collect()}
         one, two = ({k: v for k, v in rows[i].items() if k != "doc_id"} for i in (1, 2))
         assert one == two, name
@@ -83,4 +85,33 @@ def test_chat_edges(spark):
     assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (3, 16, digest("b: </turn> ### \\"))
     assert got[2]["turns_sha256"] == digest("a: b\\### \n\nassistant\né😀\n\n\n")
     assert got[None]["turns_sha256"] == digest("\n\n")
+    long_ = "né </turn> ### \\ 😀\n" * 20_000
+    one = chat.round_trip(spark.createDataFrame([(5, 0, "user", "q", "x", "y"), (5, 1, "assistant", long_, "x", "y")], schema), vocabulary, public_tokenizers.PATTERN).first()
+    assert (one["loss_chars"], one["loss_sha256"], one["turns_sha256"]) == (len(long_), digest(long_), digest(f"user\nq\nassistant\n{long_}\n"))
     assert chat.round_trip(spark.createDataFrame([], schema), vocabulary, public_tokenizers.PATTERN).count() == 0
+
+
+def test_mix_of_rows_that_repeat(spark):
+    """However often a row repeats, its source ends near its target, and rows are emitted as often as they are taken."""
+    text = "w " * 9
+    rows = [(None, text, "a", 1)] * 3000 + [(None, text, "a", 2)] * 5 + [(7, "x y", "a", 3)] * 4 + [(8, "", "b", 4), (9, None, "b", 5), (10, "z z z", "b", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long").repartition(3)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    by = {s: (sum(r["taken"] for r in out if r["source"] == s), next(r["target"] for r in out if r["source"] == s)) for s in "ab"}
+    assert all(abs(taken - target) <= 9 for taken, target in by.values())
+    assert all(r["taken"] <= 2 * r["size"] for r in out)
+    got = mixing.take(docs)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert set(kept) <= set(rows) and sum(len((r[1] or "").split()) for r in kept if r[2] == "a") == by["a"][0]
+    assert len(kept) == sum(r["copies"] for r in out)
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in mixing.take(docs.repartition(2)).collect()), key=str)
+    assert mixing.take(docs.limit(0)).count() == 0
+
+
+def test_mix_takes_odd_rows_whole(odd):
+    kept = mixing.take(odd)
+    assert kept.columns == odd.columns
+    assert {str(r) for r in kept.collect()} <= {str(r) for r in odd.collect()}
+    assert kept.count() == mixing.mix(odd).groupBy().sum("copies").first()[0]

@@ -136,13 +136,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row of `docs`, with all its columns, as often as the mix takes it."""
-    of = classes(docs, id_col, text_col, source_col).groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("crc").alias("_crc")).agg(F.sum("n").alias("_n"), F.sum("copies").alias("_copies")).where("_copies > 0")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.crc32(F.coalesce(text_col, F.lit(""))) == F.col("_crc"))
-    met = docs.join(of, same)
-    alone = met.where("_n = 1").select(*docs.columns, "_copies")
+    of = classes(docs, id_col, text_col, source_col).groupBy(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("crc").alias("of_crc")).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("crc"))
+    met = rows.join(of, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("crc") == F.col("of_crc")))
+    alone = met.where("n = 1").select("row", "copies")
     # Rows that repeat each other: equal ones fold before they are shuffled, and those that differ in another column share the copies in order.
-    rows = met.where("_n > 1").groupBy("_id", "_source", "_crc", "_n", "_copies", *docs.columns).agg(F.count("*").alias("_rows"))
-    upto = F.sum("_rows").over(Window.partitionBy("_id", "_source", "_crc").orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, 0))
-    many = rows.withColumn("_upto", upto).withColumn("_copies", _share("_n", "_copies", F.col("_upto") - F.col("_rows"), F.col("_upto")).cast("long")).where("_copies > 0")
-    both = alone.unionByName(many.select(*docs.columns, "_copies"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    equal = met.where("n > 1").groupBy("id", "source", "crc", "n", "copies", "row").agg(F.count("*").alias("here"))
+    upto = F.sum("here").over(Window.partitionBy("id", "source", "crc").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0))
+    many = equal.withColumn("upto", upto).select("row", _share("n", "copies", F.col("upto") - F.col("here"), F.col("upto")).cast("long").alias("copies")).where("copies > 0")
+    return alone.unionByName(many).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

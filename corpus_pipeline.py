@@ -1,6 +1,8 @@
 """From raw documents to token ids, in five stages over whole tables.
 
-Each stage takes all that the stage before kept, as Parquet written and read again.
+Each stage takes all that the stage before kept, as Parquet written and read again. No
+rows give no rows, in every stage; columns beside those of `documents` go with their rows,
+whatever their names, until the last stage.
 """
 
 from __future__ import annotations
@@ -19,26 +21,39 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Rows with a null id stay."""
-    ids = neardup.near_duplicates(docs, percent=85).where("kept and doc_id is not null").select("doc_id").distinct()
-    # Only rows repeated under one id are left to meet here.
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates (four fifths of their shingles in common): that of the smallest id.
+
+    An id that stands for one text names it. Rows of an id that stands for several, and
+    rows without an id, are told apart by their texts, and count after all others.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("said"), "text", F.struct(*others).alias("rest"))
+    several = rows.groupBy("id").agg(F.min("said").alias("least"), F.max("said").alias("most")).where("id is null or least < most").select(F.col("id").alias("several"))
+    late = F.xxhash64("id", "said").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    of_several = F.col("id").eqNullSafe(F.col("several"))
+    marked = rows.join(several, of_several, "left_semi").select(late.alias("key"), "text", "rest")
+    keyed = rows.join(several, of_several, "left_anti").select(F.col("id").alias("key"), "text", "rest").unionByName(marked)
+    ids = neardup.near_duplicates(keyed, percent=80, id_col="key").where("kept").select("key").distinct()
+    # Rows of one key have one text; the least of their other columns stay.
+    one = keyed.join(ids, "key", "left_semi").groupBy("key").agg(F.min("rest").alias("rest"), F.first("text").alias("text"))
+    return one.select(*("text" if c == "text" else F.col(f"rest.{c}") for c in docs.columns))
+
+
+#: Fifty words of four bytes: repeated passages of a stage's documents that are as long as that go.
+PASSAGE_BYTES = 200
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the whole characters that repeated strings of 400 bytes cover."""
+    """All documents, less the whole characters that repeated strings of PASSAGE_BYTES bytes cover. Null texts become empty."""
     others = tuple(c for c in docs.columns if c != "text")
-    cut = suffixdedup.remove_repeats(docs, length=400, whole_characters=True, with_text=True, keep=others)
+    cut = suffixdedup.remove_repeats(docs, length=PASSAGE_BYTES, whole_characters=True, with_text=True, keep=others)
     columns = {c: F.col("kept_text") if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"keep_{c}") for c in docs.columns}
     return cut.select(*(column.alias(c) for c, column in columns.items()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Documents of no words stay once where their source is taken whole."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_crc32").alias("_mix_crc"), F.col("copies").alias("_mix_copies")).distinct()
-    same = docs["doc_id"].eqNullSafe(taken["_mix_id"]) & docs["source"].eqNullSafe(taken["_mix_source"]) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == taken["_mix_crc"])
-    copied = docs.join(taken, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return copied.select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice. Rows that repeat each other share their copies evenly. Documents of no words stay once where their source is taken whole."""
+    return mixing.take(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

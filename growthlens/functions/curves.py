@@ -41,10 +41,10 @@ def sigmoid_with_jumps(x: Column, p: Sequence[Column], first: Column, last: Colu
 
 
 def sigmoid_with_ramp(x: Column, p: Sequence[Column], first: Column, last: Column) -> Column:
-    """Parameters: middle, rate, top, start, end and height of a straight rise."""
-    middle, rate, top, start, end, height = p
-    risen = F.when(x <= start, F.lit(0.0)).when(x >= end, height).otherwise(height * F.try_divide(x - start, end - start))
-    return risen + logistic(x, middle, rate, top - height)
+    """Parameters: middle, rate, top, and start, width and height of a ramp: within it the curve is ahead of itself by up to the height, taken without its sign."""
+    middle, rate, top, start, width, height = p
+    ahead = F.when((x > start) & (x < start + width), F.abs(height) * (x - start) / F.nullif(width, F.lit(0.0))).otherwise(F.lit(0.0))
+    return logistic(x + ahead, middle, rate, top)
 
 
 def gompertz(x: Column, p: Sequence[Column], first: Column, last: Column) -> Column:

@@ -61,16 +61,31 @@ def segment_meets_box(x0: Column, y0: Column, x1: Column, y1: Column, left: Colu
     return fine & (enter <= leave)
 
 
-def in_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Is a point inside a closed ring of (x, y)? By how often a ray to the east crosses it."""
-    n = F.size(ring) - 1
-    edges = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def edges(ring: Column) -> Column:
+    """The sides of a closed ring of (x, y), as structs of their ends."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
 
-    def crosses(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        return ((ay > y) != (by > y)) & (x < ax + F.try_divide((y - ay) * (bx - ax), by - ay))
 
-    return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+def crossing(y: Column, e: Column) -> Column:
+    """Where a side crosses the line at height y; null where it does not."""
+    return F.when((e["ay"] > y) != (e["by"] > y), e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)))
+
+
+def in_polygon(x: Column, y: Column, sides: Column) -> Column:
+    """Is a point inside a ring, given by those of its sides that a ray from the point to the east may cross?"""
+    return F.size(F.filter(sides, lambda e: F.coalesce(x < crossing(y, e), F.lit(False)))) % 2 == 1
+
+
+def segments_cross(x0: Column, y0: Column, x1: Column, y1: Column, e: Column) -> Column:
+    """Do a segment and a side have a point in common? Neither has both ends strictly on one side of the other."""
+
+    def turn(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column) -> Column:
+        return (qx - px) * (y - py) - (qy - py) * (x - px)
+
+    ax, ay, bx, by = e["ax"], e["ay"], e["bx"], e["by"]
+    boxes = (F.least(x0, x1) <= F.greatest(ax, bx)) & (F.least(ax, bx) <= F.greatest(x0, x1)) & (F.least(y0, y1) <= F.greatest(ay, by)) & (F.least(ay, by) <= F.greatest(y0, y1))
+    return boxes & (turn(ax, ay, bx, by, x0, y0) * turn(ax, ay, bx, by, x1, y1) <= 0) & (turn(x0, y0, x1, y1, ax, ay) * turn(x0, y0, x1, y1, bx, by) <= 0)
 
 
 def boxes_overlap(a: str, b: str) -> Column:

@@ -45,29 +45,46 @@ def model_errors(df: DataFrame, estimate: str, truth: str, model: str) -> DataFr
 def bootstrap_share(df: DataFrame, group: str, stratum: str, present: str, missing: str, weight: str, order: Sequence[str], replicates: int = 1000, seed: int = 17, block: int = 512) -> DataFrame:
     """Mean, deviation (population) and 5th and 95th percentile of the weighted share over resamples within strata.
 
-    Resampling n rows with replacement gives each row a multinomial count. Rows are
-    dealt to blocks and a block draws its own counts, given its share of its stratum's
-    rows: a replicate's totals are sums over blocks, so a group of any size is spread
-    over tasks, and only sums of replicates are shuffled. Draws depend on seed, group,
-    stratum and block alone.
+    A resample draws as many rows of a stratum as it has, with replacement and with
+    chances in proportion to 1 / weight. Rows are dealt to blocks of about `block`. The
+    number of draws goes down a binary tree over a stratum's blocks: at each node a
+    binomial draw, which all blocks below repeat alike, splits it by the chances of the
+    two halves. A block then draws its rows, and a replicate's totals are sums over
+    blocks; so a stratum of any size is spread over tasks, and only sums of replicates are
+    shuffled. Draws depend on seed, group, stratum and place in the tree alone. Rows
+    without a weight above 0 are left out.
     """
-    keyed = df.select(group, stratum, *(F.col(c).cast("double").alias(c) for c in (present, missing, weight)), F.xxhash64(*order).alias("_o"))
-    sizes = keyed.groupBy(group, stratum).agg(F.ceil(F.count("*") / block).cast("long").alias("_blocks"))
-    dealt = keyed.join(sizes, [group, stratum]).withColumn("_block", F.pmod("_o", F.col("_blocks")))
-
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.Generator(np.random.PCG64([seed, *(int.from_bytes(str(k).encode()[:32], "little") for k in key)]))
+    keys = [group, stratum, "_block"]
+    keyed = df.where(F.col(weight) > 0).select(group, stratum, *(F.col(c).cast("double").alias(c) for c in (present, missing, weight)), F.xxhash64(*order).alias("_o"))
+    # Sums of decimals do not hang on their order, so the two halves of a split see one chance.
+    keyed = keyed.withColumn("_p", (1 / F.col(weight)).cast("decimal(38,18)"))
+    sizes = keyed.groupBy(group, stratum).agg(F.count("*").alias("_n"), F.ceil(F.count("*") / block).cast("long").alias("_blocks")).withColumn("_depth", F.ceil(F.log2("_blocks")).cast("int"))
+    dealt = keyed.join(sizes.select(group, stratum, "_blocks"), [group, stratum]).withColumn("_block", F.pmod("_o", F.col("_blocks"))).drop("_blocks")
+    blocks = dealt.groupBy(*keys).agg(F.sum("_p").alias("_p")).join(sizes, [group, stratum])
+    # A row for each node above a block: its place, and the side that leads to the block.
+    levels = F.filter(F.sequence(F.lit(0), F.col("_depth")), lambda d: d < F.col("_depth"))
+    above = blocks.select(*keys, "_p", "_depth", F.explode(levels).alias("_d")).withColumn("_node", F.expr("shiftright(_block, _depth - _d)")).withColumn("_right", F.expr("shiftright(_block, _depth - _d - 1) & 1"))
+    nodes = above.groupBy(group, stratum, "_d", "_node").agg((F.coalesce(F.sum(F.when(F.col("_right") == 0, F.col("_p"))), F.lit(0)) / F.sum("_p")).cast("double").alias("_left"))
+    paths = above.join(nodes, [group, stratum, "_d", "_node"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_d", "_node", "_right", "_left"))).alias("_path"))
+    plan = blocks.join(paths, keys, "left").select(F.col(group).alias("_g"), F.col(stratum).alias("_s"), F.col("_block").alias("_b"), "_n", "_path")
+
+    def draw(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        def generator(*place: int) -> np.random.Generator:
+            return np.random.Generator(np.random.PCG64([seed, *(int.from_bytes(str(k).encode()[:32], "little") for k in key[:2]), *place]))
+
+        total = np.full(replicates, plan["_n"].iloc[0])
+        for step in plan["_path"].iloc[0] if plan["_path"].iloc[0] is not None else ():
+            left = generator(int(step["_d"]), int(step["_node"])).binomial(total, min(1.0, float(step["_left"])))
+            total = total - left if step["_right"] else left
         rows = rows.sort_values(["_o", present, missing, weight])
-        n = len(rows)
-        # Given its size, a block's count over the whole is nearly Poisson; a single block keeps its exact total.
-        total = np.full(replicates, n) if rows["_blocks"].iloc[0] == 1 else rng.poisson(n, replicates)
+        chance = 1 / rows[weight].to_numpy()
+        counts = generator(1 << 20, int(key[2])).multinomial(total, chance / chance.sum())
         top = (rows[present] * rows[weight]).to_numpy()
         all_ = ((rows[present] + rows[missing]) * rows[weight]).to_numpy()
-        counts = np.stack([np.bincount(rng.integers(0, n, k), minlength=n) for k in total])
         return pd.DataFrame({group: key[0], "rep": np.arange(replicates), "top": counts @ top, "all": counts @ all_})
 
     kind = df.schema[group].dataType.simpleString()
-    sums = dealt.groupBy(group, stratum, "_block").applyInPandas(draw, f"{group} {kind}, rep long, top double, all double")
+    sums = dealt.groupBy(*keys).cogroup(plan.groupBy("_g", "_s", "_b")).applyInPandas(draw, f"{group} {kind}, rep long, top double, all double")
     shares = sums.groupBy(group, "rep").agg((F.sum("top") / F.sum("all")).alias("x"))
     edges = F.percentile("x", F.array(F.lit(0.05), F.lit(0.95)))
     return shares.groupBy(group).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), edges.alias("_p")).select(group, "mean", "std", F.get("_p", F.lit(0)).alias("p5"), F.get("_p", F.lit(1)).alias("p95"))

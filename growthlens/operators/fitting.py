@@ -76,9 +76,9 @@ def evaluate(name: str, x: np.ndarray, p: Sequence[float], first: float, last: f
     if name == "gompertz":
         return p[0] * np.exp(-p[1] * np.exp(np.clip(-p[2] * (x - first) / (last - first), -700, 700)))
     if name == "sigmoid_ramp":
-        m, k, top, a, b, h = p
-        share = np.clip((x - a) / (b - a), 0, 1) if b > a else (x > a).astype(float)
-        return h * share + _logistic(x, m, k, top - h)
+        m, k, top, start, width, height = p
+        ahead = (x - start) * (abs(height) / width) if width > 0 else 0.0
+        return _logistic(x + np.where((x > start) & (x < start + width), ahead, 0.0), m, k, top)
     place, height = np.array(p[4::2]), np.abs(np.array(p[5::2]))
     height = np.where(place > last, 0.0, height)
     return abs(p[2]) + (x[:, None] > place) @ height + _logistic(x, p[0], p[1], p[3] - height.sum() - abs(p[2]))

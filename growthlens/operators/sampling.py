@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from growthlens.operators import rollup as R
 
 
+#: Rows of a group that are put in order by one task.
+BLOCK_ROWS = 1 << 20
+
+
 def uniform(seed: int, *parts: str) -> Column:
     """A number in [0, 1) that hangs on its parts alone."""
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 53)) / float(1 << 53)
@@ -19,15 +23,25 @@ def proportional(df: DataFrame, group: str, size: str, order: Sequence[str], n:
     """`n` draws a group, with replacement, in proportion to size, and n times the draw's probability.
 
     Sizes below 0 count as 0. Draw k of a group falls into the stretch of running sizes
-    that holds u_k of their total. Draws are few, so the lookup starts from them.
+    that holds u_k of their total. Rows run by `order` within blocks of about BLOCK_ROWS,
+    dealt by a hash where a group has more. A draw first finds its block by the blocks'
+    sums; then only blocks with draws are sorted, each by itself.
     """
-    by = Window.partitionBy(group).orderBy(*order)
     mass = F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0))
-    rows = df.withColumn("_m", mass).where("_m > 0").withColumn("_hi", F.sum("_m").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_m"))
-    totals = rows.groupBy(group).agg(F.sum("_m").alias("_total"))
-    draws = totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_u", draw if draw is not None else uniform(seed, group, "draw")).withColumn("_at", F.col("_u") * F.col("_total"))
-    hit = rows.join(draws, group).where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
-    return hit.withColumn("selection", F.col("_m") / F.col("_total") * n).drop("_m", "_hi", "_lo", "_total", "_u", "_at")
+    rows = df.withColumn("_m", mass).where("_m > 0")
+    blocks = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    rows = rows.join(blocks, group).withColumn("_block", F.pmod(F.xxhash64(*order), F.col("_blocks"))).drop("_blocks")
+    every = Window.partitionBy(group)
+    upto = every.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(group, "_block").agg(F.sum("_m").alias("_s")).withColumn("_base", F.sum("_s").over(upto) - F.col("_s")).withColumn("_total", F.sum("_s").over(every)).withColumn("_end", F.lead("_base").over(every.orderBy("_block")))
+    draws = sums.where("_base = 0").select(group, "_total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("_u", draw if draw is not None else uniform(seed, group, "draw")).select(group, "draw", (F.col("_u") * F.col("_total")).alias("_at"))
+    # The last stretch is open, so that rounding loses no draw.
+    found = draws.join(sums, group).where((F.col("_at") >= F.col("_base")) & (F.col("_end").isNull() | (F.col("_at") < F.col("_end")))).select(group, "_block", "draw", "_total", (F.col("_at") - F.col("_base")).alias("_at"))
+    by = Window.partitionBy(group, "_block").orderBy(*order)
+    hi = F.sum("_m").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    run = rows.join(found.select(group, "_block").distinct(), [group, "_block"], "left_semi").withColumn("_hi", hi).withColumn("_last", F.lead("_m").over(by).isNull())
+    hit = run.join(found, [group, "_block"]).where((F.col("_at") >= F.col("_hi") - F.col("_m")) & (F.col("_last") | (F.col("_at") < F.col("_hi"))))
+    return hit.withColumn("selection", F.col("_m") / F.col("_total") * n).drop("_m", "_hi", "_last", "_total", "_at", "_block")
 
 
 def dense_part(df: DataFrame, group: str, density: str, mass: str, order: Sequence[str], share: float, n: int, seed: int = 13) -> DataFrame:

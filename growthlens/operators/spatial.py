@@ -31,15 +31,35 @@ def segments_to_boxes(segments: DataFrame, boxes: DataFrame, key: Sequence[str],
     return segments.select(*key).distinct().join(hit, list(key), "left")
 
 
+def _ring_tiles(polygons: DataFrame, unit: str, side: float) -> DataFrame:
+    """A row for each tile that a ring's box touches, with the sides that decide whether points of the tile are inside: those at its height, and not to its west."""
+    x = [F.transform("ring", lambda p: p[c]) for c in ("x", "y")]
+    boxed = polygons.select(unit, G.edges(F.col("ring")).alias("sides"), F.floor(F.array_min(x[0]) / side).alias("_l"), F.floor(F.array_max(x[0]) / side).alias("_r"), F.explode(F.sequence(F.floor(F.array_min(x[1]) / side), F.floor(F.array_max(x[1]) / side))).alias("_ty"))
+    low, high = F.col("_ty") * side, (F.col("_ty") + 1) * side
+    band = boxed.withColumn("sides", F.filter("sides", lambda e: (F.least(e["ay"], e["by"]) <= high) & (F.greatest(e["ay"], e["by"]) >= low)))
+    tiles = band.withColumn("_tx", F.explode(F.sequence("_l", "_r"))).drop("_l", "_r")
+    return tiles.withColumn("sides", F.filter("sides", lambda e: F.greatest(e["ax"], e["bx"]) >= F.col("_tx") * side))
+
+
 def points_to_polygons(points: DataFrame, polygons: DataFrame, key: str, unit: str, side: float) -> DataFrame:
-    """Left join of points (x, y) with each polygon (closed `ring`) they are in."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    """Left join of points (x, y) with each polygon (closed `ring`) they are in. Tiles get the sides that matter to them, not whole rings."""
     p = points.withColumn("_tx", F.floor(F.col("x") / side)).withColumn("_ty", F.floor(F.col("y") / side))
-    g = on_tiles(polygons, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), side)
-    hit = p.join(g, ["_tx", "_ty"]).where(G.in_polygon(F.col("x"), F.col("y"), F.col("ring"))).select(key, unit)
+    hit = p.join(_ring_tiles(polygons, unit, side), ["_tx", "_ty"]).where(G.in_polygon(F.col("x"), F.col("y"), F.col("sides"))).select(key, unit)
     return points.select(key).join(hit, key, "left")
 
 
+def segments_to_polygons(segments: DataFrame, polygons: DataFrame, key: str, unit: str, side: float) -> DataFrame:
+    """Left join of segments (x0, y0, x1, y1) with each polygon (closed `ring`) they meet: one end is inside, or they cross a side."""
+    c = F.col
+    within = points_to_polygons(segments.select(key, c("x0").alias("x"), c("y0").alias("y")), polygons, key, unit, side).where(c(unit).isNotNull())
+    sides = polygons.select(unit, F.explode(G.edges(c("ring"))).alias("e"))
+    e = on_tiles(sides, F.least("e.ax", "e.bx"), F.least("e.ay", "e.by"), F.greatest("e.ax", "e.bx"), F.greatest("e.ay", "e.by"), side)
+    s = on_tiles(segments, F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), side)
+    across = s.join(e, ["_tx", "_ty"]).where(G.segments_cross(c("x0"), c("y0"), c("x1"), c("y1"), c("e"))).select(key, unit)
+    hit = within.unionByName(across).distinct()
+    return segments.select(key).distinct().join(hit, key, "left")
+
+
 def overlapping_boxes(boxes: DataFrame, key: str, side: float) -> DataFrame:
     """Pairs of different boxes whose interiors meet, each once."""
     c = F.col
@@ -75,13 +95,25 @@ def sample_points(points: DataFrame, raster: DataFrame, key: str, band: str) ->
 
 
 def rasterized(polygons: DataFrame, unit: str) -> DataFrame:
-    """The pixels whose centre is in a polygon, with the polygon's unit."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    r0, c0 = G.pixel(F.array_min(xs), F.array_max(ys))
-    r1, c1 = G.pixel(F.array_max(xs), F.array_min(ys))
-    cells = polygons.withColumn("row", F.explode(F.sequence(r0, r1))).withColumn("col", F.explode(F.sequence(c0, c1)))
-    lon, lat = G.pixel_center(F.col("row"), F.col("col"))
-    return cells.withColumn("_x", lon).withColumn("_y", lat).where(G.in_polygon(F.col("_x"), F.col("_y"), F.col("ring"))).select(unit, "row", "col")
+    """The pixels whose centre is in a polygon, with the polygon's unit; the same ring twice counts once.
+
+    Each side gives the places where it crosses the middles of pixel rows; a row's
+    crossings in order are where a ring starts and ends. So work goes by the rows of
+    sides and not by the pixels of boxes, no row holds a ring, and a large polygon is
+    spread over as many tasks as there are rows.
+    """
+    d = G.PER_DEGREE
+    sides = polygons.select(unit, "ring").distinct().select(unit, F.xxhash64("ring").alias("_ring"), F.explode(G.edges(F.col("ring"))).alias("e"))
+    top, low = F.greatest("e.ay", "e.by"), F.least("e.ay", "e.by")
+    rows = sides.withColumn("row", F.explode(F.sequence(F.floor((90 - top) * d).cast("int"), F.floor((90 - low) * d).cast("int"))))
+    _, middle = G.pixel_center(F.col("row"), F.lit(0))
+    met = rows.withColumn("x", G.crossing(middle, F.col("e"))).where("x is not null")
+    runs = met.groupBy(unit, "_ring", "row").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    pairs = runs.select(unit, "row", "x", F.explode(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2))).alias("k")).select(unit, "row", F.get("x", F.col("k")).alias("enter"), F.get("x", F.col("k") + 1).alias("leave"))
+    # A pixel more at either end, and then the middles themselves decide.
+    cells = pairs.withColumn("col", F.explode(F.sequence(F.floor((F.col("enter") + 180) * d).cast("int") - 1, F.floor((F.col("leave") + 180) * d).cast("int") + 1)))
+    lon, _ = G.pixel_center(F.col("row"), F.col("col"))
+    return cells.withColumn("_x", lon).where("_x >= enter and _x < leave").select(unit, "row", "col")
 
 
 def mosaic(rasters: Sequence[DataFrame], bands: Sequence[str]) -> DataFrame:

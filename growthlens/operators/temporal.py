@@ -12,9 +12,12 @@ OPEN_END = "2099-12-31"
 
 
 def with_valid_to(df: DataFrame, key: str, version: str, valid_from: str, open_end: str = OPEN_END) -> DataFrame:
-    """Adds valid_to: the date of the next higher version of the key, the same for all rows of a version."""
-    later = Window.partitionBy(key).orderBy(version).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn("valid_to", F.coalesce(F.first(valid_from).over(later), F.lit(open_end).cast("date")))
+    """Adds valid_to: the date of the next higher version of the key, the same for all rows of a version.
+
+    Versions run downwards, so the frame only grows and a key costs no more than its rows.
+    """
+    higher = Window.partitionBy(key).orderBy(F.col(version).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("valid_to", F.coalesce(F.last(valid_from).over(higher), F.lit(open_end).cast("date")))
 
 
 def drop_repeats(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -34,17 +37,22 @@ def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, rank: str, values: Sequence[str], left_id: Sequence[str]) -> DataFrame:
     """As-of join: for each left row the right row of highest `rank` whose time is not after the left one's.
 
-    The equality on `keys` distributes the join; the pick of the highest rank is an
-    aggregate, so only one struct a left row is kept. Left rows without a match drop out.
+    The left rows' distinct keys and times run with the right rows through one window by
+    key, which carries the highest rank so far forward; then they meet the left rows by
+    equality, which Spark can split where a key is hot. No row meets every version of its
+    key. Left rows without a match drop out.
     """
-    r = right.select(*(F.col(k).alias(f"r_{k}") for k in keys), F.col(right_time).alias("r_time"), F.struct(F.col(rank).alias("rank"), *(F.col(v).alias(v) for v in values)).alias("r_row"))
-    match = [F.col(k) == F.col(f"r_{k}") for k in keys]
-    condition = F.col("r_time") <= F.col(left_time)
-    for m in match:
-        condition &= m
+    names = [f"_k{i}" for i in range(len(keys))]
+    of = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    row = F.struct(F.col(rank).alias("rank"), *(F.col(v).alias(v) for v in values))
+    rows = right.select(*of, F.col(right_time).alias("_time"), row.alias("_row"))
+    asked = left.select(*of, F.col(left_time).alias("_time")).distinct()
+    both = rows.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
     # A struct is ordered by its first field; ranks are unique within a key.
-    picked = left.join(r, condition).groupBy(*left_id).agg(F.max("r_row").alias("row"))
-    return picked.select(*left_id, *(F.col(f"row.{v}").alias(v) for v in values))
+    upto = Window.partitionBy(*names).orderBy("_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = both.withColumn("_best", F.max("_row").over(upto)).where("_ask and _best is not null").select(*names, "_time", "_best")
+    asks = left.select(*left_id, *of, F.col(left_time).alias("_time"))
+    return asks.join(known, [*names, "_time"]).select(*left_id, *(F.col(f"_best.{v}").alias(v) for v in values))
 
 
 def steps(df: DataFrame, groups: Sequence[str], start: str, end: str, measure: str, open_end: str = OPEN_END) -> DataFrame:

@@ -18,7 +18,7 @@ TRIED = {
     "sigmoid_2_jumps": [4.5, 0.9, -0.3, 10.0, 2.0, 1.0, 6.0, -2.0],
     "sigmoid_3_jumps": [5.0, 1.3, 0.2, 12.0, 2.0, 1.0, 4.0, 1.5, 7.0, 0.5],
     "sigmoid_4_jumps": [5.0, 0.8, 0.1, 12.0, 1.0, 0.7, 3.0, 1.1, 6.0, 0.9, 30.0, 4.0],
-    "sigmoid_ramp": [5.0, 1.0, 9.0, 2.0, 6.0, 3.0],
+    "sigmoid_ramp": [5.0, 1.0, 9.0, 2.0, 6.0, -3.0],
     "gompertz": [8.0, 7.0, 6.0],
 }
 FIRST, LAST = 0.0, 10.0
@@ -40,14 +40,14 @@ def _sql_curve(name: str, p: list[float]) -> str:
     if name == "gompertz":
         return f"{p[0]} * exp(-{p[1]} * exp(-{p[2]} * (x - {FIRST}) / ({LAST} - {FIRST})))"
     if name == "sigmoid_ramp":
-        m, k, top, a, b, h = p
-        return f"CASE WHEN x <= {a} THEN 0.0 WHEN x >= {b} THEN {h} ELSE {h} * (x - {a}) / ({b} - {a}) END + {_sql_logistic(m, k, top - h)}"
+        m, k, top, a, width, h = p
+        return f"{top} / (1 + exp(-{k} * (x - {m} + CASE WHEN x > {a} AND x < {a} + {width} THEN abs({h}) * (x - {a}) / {width} ELSE 0 END)))"
     jumps = [(a, abs(h) if a <= LAST else 0.0) for a, h in zip(p[4::2], p[5::2], strict=True)]
     after = " + ".join(f"CASE WHEN x > {a} THEN {h} ELSE 0.0 END" for a, h in jumps)
     return f"{abs(p[2])} + {after} + " + _sql_logistic(p[0], p[1], p[3] - sum(h for _, h in jumps) - abs(p[2]))
 
 
-_GRID = "g AS (SELECT c_custkey, CAST(c_custkey AS DOUBLE) / 150.0 AS x FROM customer WHERE c_custkey < 1500)"
+_GRID = "g AS (SELECT c_custkey, CAST(c_custkey AS DOUBLE) / 150.0 AS x FROM customer)"
 
 
 @query(f"WITH {_GRID} " + " UNION ALL ".join(f"SELECT c_custkey, '{n}' AS curve, round({_sql_curve(n, p)}, 6) AS y FROM g" for n, p in TRIED.items()))
@@ -138,8 +138,8 @@ def fitted_choice(t: Tables) -> DataFrame:
 @query()
 def fitted_by_class(t: Tables) -> DataFrame:
     """Fits by region and class in one key."""
-    from growthlens.plans.aggregates import region_rollup_all
+    from growthlens.plans.aggregates import region_rollup
 
-    rows = region_rollup_all(t).select(F.concat_ws("_", "region", "klass").alias("key"), S.to_axis("dt").alias("x"), "dt", "v")
+    rows = region_rollup(t).select(F.concat_ws("_", "region", "klass").alias("key"), S.to_axis("dt").alias("x"), "dt", "v")
     run = F.sum("v").over(Window.partitionBy("key").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0))
     return M.fit_curves(rows.withColumn("y", run / 1e9), "key", "x", "y", *_AXIS).select("key", "curve", "params", "mse", "success")

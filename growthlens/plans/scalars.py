@@ -53,21 +53,11 @@ def transforms(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + l_linenumber AS total, round(l_quantity / (l_quantity + l_linenumber), 8) AS share, CAST(round_even(l_extendedprice, 0) AS INT) AS metres, least(l_quantity / 30, 1.0) AS capped, coalesce(nullif(l_tax, 0), l_discount, 0) AS first_known,
-least(l_tax, l_discount) AS smallest FROM lineitem WHERE l_orderkey % 8 = 0""")
+least(l_tax, l_discount) AS smallest FROM lineitem""")
 def row_arithmetic(t: Tables) -> DataFrame:
-    """E17, E18, E19, E20, E23, E25 on the orders that its SQL names."""
-    return _row_arithmetic(t.lineitem.where("l_orderkey % 8 = 0"))
-
-
-@query()
-def row_arithmetic_all(t: Tables) -> DataFrame:
-    """E17, E18, E19, E20, E23, E25 on all rows."""
-    return _row_arithmetic(t.lineitem)
-
-
-def _row_arithmetic(rows: DataFrame) -> DataFrame:
+    """E17, E18, E19, E20, E23, E25."""
     q, m = F.col("l_quantity"), F.col("l_linenumber")
-    return rows.select(
+    return t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", (q + m).alias("total"), F.round(F.try_divide(q, q + m), 8).alias("share"), F.rint("l_extendedprice").cast("int").alias("metres"), F.least(q / 30, F.lit(1.0)).alias("capped"),
         F.coalesce(F.nullif("l_tax", F.lit(0.0)), "l_discount", F.lit(0.0)).alias("first_known"), F.coalesce(F.least("l_tax", "l_discount"), F.lit(0.0)).alias("smallest"))
 
@@ -110,21 +100,11 @@ def ways_from_xml(t: Tables) -> DataFrame:
     return ways.select("way_id", "version", "valid_from", "visible", "road", "service", F.size("refs").alias("n_refs"), F.aggregate("refs", F.lit(0).cast("long"), lambda s, x: s + x).alias("ref_sum"))
 
 
-@query("""SELECT event_id % 100 AS node_id, CAST(event_id % 10 + 1 AS SMALLINT) AS version, round(value / 10, 4) AS lat, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error' AND strftime(ts, '%Y-%m-%d') < '2024-01-10' GROUP BY 1, 2, 3, 4""")
+@query("""SELECT event_id % 100 AS node_id, CAST(event_id % 10 + 1 AS SMALLINT) AS version, round(value / 10, 4) AS lat, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2, 3, 4""")
 def nodes_from_xml(t: Tables) -> DataFrame:
-    """IO4, F1, E4: visible nodes, in any letter case, of the days that its SQL names."""
-    return _nodes_from_xml(t.events.where("ts < '2024-01-10'"))
-
-
-@query()
-def nodes_from_xml_all(t: Tables) -> DataFrame:
-    """IO4, F1, E4: visible nodes, in any letter case, of all days."""
-    return _nodes_from_xml(t.events)
-
-
-def _nodes_from_xml(events: DataFrame) -> DataFrame:
+    """IO4, F1, E4: visible nodes, in any letter case."""
     text = F.concat(F.lit('<node id="'), F.col("event_id") % 100, F.lit('" lat="'), F.round(F.col("value") / 10, 4), F.lit('" lon="1.5" version="'), F.col("event_id") % 10 + 1, F.lit('" timestamp="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('" visible="'), F.when(F.col("event_type") == "error", "FALSE").otherwise("TRUE"), F.lit('"/>'))
-    rows = X.nodes(X.parse_column(events.select(text.alias("xml")), "xml", X.NODE))
+    rows = X.nodes(X.parse_column(t.events.select(text.alias("xml")), "xml", X.NODE))
     return rows.groupBy("node_id", "version", "lat", "day").agg(F.count("*").alias("n"))
 
 
@@ -134,28 +114,14 @@ def incremental_ways(t: Tables) -> DataFrame:
     return X.ways(X.parse_column(way_xml(t).select("xml"), "xml", X.WAY), since="2024-01-2").select("way_id", "version")
 
 
-@query(f"""WITH {_WAYS}, refs AS (SELECT user_id AS way_id, version, valid_from, 0 AS place, event_id % 100 AS node_id FROM w WHERE event_type <> 'error' AND user_id < 30 UNION ALL SELECT user_id, version, valid_from, 1, event_id % 37 FROM w WHERE event_type <> 'error' AND user_id < 30),
+@query(f"""WITH {_WAYS}, refs AS (SELECT user_id AS way_id, version, valid_from, 0 AS place, event_id % 100 AS node_id FROM w WHERE event_type <> 'error' UNION ALL SELECT user_id, version, valid_from, 1, event_id % 37 FROM w WHERE event_type <> 'error'),
 n AS (SELECT c_custkey % 60 AS node_id, c_custkey AS node_version, DATE '2024-01-01' + CAST(c_custkey % 29 AS INT) AS day, c_acctbal AS lat FROM customer),
 hit AS (SELECT way_id, version, place, arg_max(lat, node_version) AS lat FROM refs JOIN n USING (node_id) WHERE n.day <= valid_from GROUP BY 1, 2, 3)
-SELECT w.user_id AS way_id, CAST(w.version AS INT) AS version, CAST(count(hit.place) AS INT) AS n_nodes, CAST(2 - count(hit.place) AS INT) AS n_missing, round(coalesce(sum(lat), 0), 4) AS lat_sum FROM w LEFT JOIN hit ON w.user_id = hit.way_id AND w.version = hit.version WHERE event_type <> 'error' AND w.user_id < 30 GROUP BY 1, 2""")
+SELECT w.user_id AS way_id, CAST(w.version AS INT) AS version, CAST(count(hit.place) AS INT) AS n_nodes, CAST(2 - count(hit.place) AS INT) AS n_missing, round(coalesce(sum(lat), 0), 4) AS lat_sum FROM w LEFT JOIN hit ON w.user_id = hit.way_id AND w.version = hit.version WHERE event_type <> 'error' GROUP BY 1, 2""")
 def way_geometry(t: Tables) -> DataFrame:
-    """J1, G1, IO7: points of ways from the node versions of their time, for the ways that its SQL names."""
-    return _way_geometry(t, _parsed_ways(t).where("way_id < 30"))
-
-
-@query()
-def way_geometry_all(t: Tables) -> DataFrame:
-    """J1, G1, IO7: points of all ways from the node versions of their time."""
-    return _way_geometry(t, _parsed_ways(t))
-
-
-def _parsed_ways(t: Tables) -> DataFrame:
-    return X.ways(X.parse_column(way_xml(t).select("xml"), "xml", X.WAY))
-
-
-def _way_geometry(t: Tables, ways: DataFrame) -> DataFrame:
+    """J1, G1, IO7: points of ways from the node versions of their time."""
     nodes = t.customer.select((F.col("c_custkey") % 60).alias("node_id"), F.col("c_custkey").alias("version"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 29).cast("int")).alias("day"), F.col("c_acctbal").alias("lat"), F.lit(0.0).alias("lon"))
-    out = X.geometry(ways, nodes)
+    out = X.geometry(X.ways(X.parse_column(way_xml(t).select("xml"), "xml", X.WAY)), nodes)
     return out.select("way_id", "version", F.col("n_nodes").cast("int").alias("n_nodes"), F.col("n_missing").cast("int").alias("n_missing"), F.round(F.coalesce(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["lat"]), F.lit(0.0)), 4).alias("lat_sum"))
 
 

@@ -142,24 +142,14 @@ def overlapping_units(t: Tables) -> DataFrame:
     return P.overlapping_boxes(boxes(t), "unit", side=0.5)
 
 
-@query(f"""WITH {_RASTER}, {_SEGMENTS}, few AS (SELECT *, abs(x1 - x0) + abs(y1 - y0) AS len FROM s WHERE way < 300),
-c AS (SELECT few.*, CAST(unnest(range(CAST(floor((90 - greatest(y0, y1)) * 120) AS BIGINT), CAST(floor((90 - least(y0, y1)) * 120) AS BIGINT) + 1)) AS INT) AS "row" FROM few WHERE len < 0.3),
+@query(f"""WITH {_RASTER}, {_SEGMENTS}, every AS (SELECT *, abs(x1 - x0) + abs(y1 - y0) AS len FROM s),
+c AS (SELECT every.*, CAST(unnest(range(CAST(floor((90 - greatest(y0, y1)) * 120) AS BIGINT), CAST(floor((90 - least(y0, y1)) * 120) AS BIGINT) + 1)) AS INT) AS "row" FROM every WHERE len < 0.3),
 d AS (SELECT c.*, CAST(unnest(range(CAST(floor((least(x0, x1) + 180) * 120) AS BIGINT), CAST(floor((greatest(x0, x1) + 180) * 120) AS BIGINT) + 1)) AS INT) AS col FROM c),
 h AS (SELECT way, d."row", d.col FROM d WHERE {_meets('(col / 120.0::DOUBLE - 180)', '(90 - ("row" + 1) / 120.0::DOUBLE)', '((col + 1) / 120.0::DOUBLE - 180)', '(90 - "row" / 120.0::DOUBLE)')}),
-m AS (SELECT way, avg(pop) AS pop FROM h JOIN r ON h."row" = r."row" AND h.col = r.col GROUP BY 1) SELECT few.way, round(m.pop, 6) AS pop FROM few LEFT JOIN m ON few.way = m.way""")
+m AS (SELECT way, avg(pop) AS pop FROM h JOIN r ON h."row" = r."row" AND h.col = r.col GROUP BY 1) SELECT every.way, round(m.pop, 6) AS pop FROM every LEFT JOIN m ON every.way = m.way""")
 def line_raster_means(t: Tables) -> DataFrame:
-    """The raster under a line, if it is not too long, for the lines that its SQL names."""
-    return _line_raster_means(t, segments(t).where("way < 300"))
-
-
-@query()
-def line_raster_means_all(t: Tables) -> DataFrame:
-    """The raster under every line that is not too long."""
-    return _line_raster_means(t, segments(t))
-
-
-def _line_raster_means(t: Tables, lines: DataFrame) -> DataFrame:
-    s = lines.withColumn("len", F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0")))
+    """The raster under a line, if it is not too long."""
+    s = segments(t).withColumn("len", F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0")))
     return P.line_means(s, raster(t), ["way"], "pop", "len", 0.3).select("way", F.round("pop", 6).alias("pop"))
 
 
@@ -187,6 +177,24 @@ def points_in_polygons(t: Tables) -> DataFrame:
     return P.points_to_polygons(points, triangles(t), "c_custkey", "unit", side=0.5)
 
 
+def _crosses(ax: str, ay: str, bx: str, by: str) -> str:
+    """Does the segment of a row cross this one?"""
+
+    def side(px: str, py: str, qx: str, qy: str, x: str, y: str) -> str:
+        return f"(({qx} - ({px})) * ({y} - ({py})) - ({qy} - ({py})) * ({x} - ({px})))"
+
+    return f"{side(ax, ay, bx, by, 'x0', 'y0')} * {side(ax, ay, bx, by, 'x1', 'y1')} <= 0 AND {side('x0', 'y0', 'x1', 'y1', ax, ay)} * {side('x0', 'y0', 'x1', 'y1', bx, by)} <= 0"
+
+
+_SIDES = [_crosses(*e) for e in (("t.x", "t.y", "t.x + 0.6", "t.y + 0.11"), ("t.x + 0.6", "t.y + 0.11", "t.x + 0.2", "t.y + 0.7"), ("t.x + 0.2", "t.y + 0.7", "t.x", "t.y"))]
+
+
+@query(f"""WITH {_TRI}, {_SEGMENTS}, h AS (SELECT s.way, t.unit FROM s JOIN t ON {_inside('s.x0', 's.y0')} OR {' OR '.join(_SIDES)}) SELECT s.way, h.unit FROM s LEFT JOIN h ON s.way = h.way""")
+def lines_in_polygons(t: Tables) -> DataFrame:
+    """Every unit with a ring of any form that a line meets, or null."""
+    return P.segments_to_polygons(segments(t), triangles(t), "way", "unit", side=0.5)
+
+
 @query(f"""WITH {_TRI}, g AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col, (c + 0.5) / 120.0 - 180 AS px, 90 - (r + 0.5) / 120.0 AS py FROM range(5200, 5881) a(r), range(21100, 22093) b(c))
 SELECT t.unit, CAST(count(*) AS BIGINT) AS n, CAST(sum("row") AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM g JOIN t ON px BETWEEN t.x AND t.x + 0.6 AND py BETWEEN t.y AND t.y + 0.7 AND {_inside('px', 'py')} GROUP BY 1""")
 def rasterized_polygons(t: Tables) -> DataFrame:

@@ -36,20 +36,29 @@ def write_store(df: DataFrame, path: str, key: str, files: int) -> None:
 
 
 def remaining(spark: SparkSession, inputs: DataFrame, key: str, path: str) -> DataFrame:
-    """The keys whose output is not at `path` yet."""
+    """The keys that the table at `path` does not have."""
     if not exists(spark, path):
         return inputs
     return inputs.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
 
 
 def process_in_batches(spark: SparkSession, inputs: DataFrame, key: str, path: str, work: Callable[[DataFrame], DataFrame], size: int = 450) -> int:
-    """Works on at most `size` keys at a time and appends, until none remains; resumes where a lost run ended. Returns the number of batches."""
+    """Works on at most `size` keys at a time and appends, until none remains; resumes where a lost run ended. Returns the number of batches.
+
+    Keys that are done are noted in a table of their own, so one that yields no rows is
+    not tried again, and the output is read once, for what a lost run has written and not
+    noted. Keys are unique.
+    """
+    done = f"{path.rstrip('/')}.done"
+    if exists(spark, path):
+        remaining(spark, spark.read.parquet(path).select(key).distinct(), key, done).write.mode("append").parquet(done)
     n = 0
     while True:
-        batch = remaining(spark, inputs, key, path).orderBy(key).limit(size)
+        batch = remaining(spark, inputs, key, done).orderBy(key).limit(size)
         if batch.isEmpty():
             return n
         work(batch).write.mode("append").parquet(path)
+        batch.select(key).write.mode("append").parquet(done)
         n += 1
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from growthlens.operators.temporal import latest_before
+
 NODE = "_id long, _lat double, _lon double, _version int, _timestamp string, _visible string"
 WAY = "_id long, _version int, _timestamp string, _visible string, nd array<struct<_ref: long>>, tag array<struct<_k: string, _v: string>>"
 #: The tag values that make a way a road.
@@ -57,8 +59,8 @@ def ways(elements: DataFrame, key: str = "highway", since: str | None = None) ->
 def geometry(ways_: DataFrame, nodes_: DataFrame) -> DataFrame:
     """Ways as points in order, from the latest node versions not after the way's day, with the number of nodes found and missing."""
     refs = ways_.select("way_id", "version", "valid_from", F.posexplode("refs").alias("place", "node_id"))
-    hit = refs.join(nodes_.withColumnsRenamed({"version": "node_version"}), "node_id").where("day <= valid_from").groupBy("way_id", "version", "place").agg(F.max(F.struct("node_version", "lon", "lat")).alias("n"))
-    points = hit.groupBy("way_id", "version").agg(F.sort_array(F.collect_list(F.struct("place", "n.lon", "n.lat"))).alias("p"))
+    hit = latest_before(refs, nodes_.withColumnsRenamed({"version": "node_version"}), ["node_id"], "valid_from", "day", "node_version", ["lon", "lat"], ["way_id", "version", "place"])
+    points = hit.groupBy("way_id", "version").agg(F.sort_array(F.collect_list(F.struct("place", "lon", "lat"))).alias("p"))
     out = ways_.join(points, ["way_id", "version"], "left")
     found = F.coalesce(F.size("p"), F.lit(0))
     return out.withColumn("n_nodes", F.greatest(found, F.lit(0))).withColumn("n_missing", F.size("refs") - F.greatest(found, F.lit(0))).withColumn("points", F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat")))).drop("p")

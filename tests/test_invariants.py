@@ -92,20 +92,59 @@ def test_region_totals_do_not_double(spark):
 
 @pytest.mark.parametrize("block", [512, 16])
 def test_bootstrap(spark, block):
+    """Against drawing rows one by one, with chances of 1 / weight within each stratum."""
     rng = random.Random(1)
-    rows = [("g", rng.choice("ab"), float(rng.randrange(9)), float(rng.randrange(9)), 1.0 + rng.random(), i) for i in range(400)]
+    # What is heavy, and so seldom drawn, differs from what is light.
+    rows = [("g", rng.choice("ab"), float(rng.randrange(9)) if i % 4 else 9.0, float(rng.randrange(9)) if i % 4 else 1.0, 1.0 + rng.random() + 6.0 * (i % 4 == 0), i) for i in range(400)]
     df = spark.createDataFrame(rows, "g string, s string, p double, m double, w double, i int")
-    one = estimates.bootstrap_share(df, "g", "s", "p", "m", "w", ["i"], 400, block=block).first()
-    truth = sum(r[2] * r[4] for r in rows) / sum((r[2] + r[3]) * r[4] for r in rows)
+    one = estimates.bootstrap_share(df, "g", "s", "p", "m", "w", ["i"], 3000, block=block).first()
     rep = np.random.default_rng(0)
-    arr = [np.array([(r[2] * r[4], (r[2] + r[3]) * r[4]) for r in rows if r[1] == s]) for s in "ab"]
+    arr = [(np.array([(r[2] * r[4], (r[2] + r[3]) * r[4]) for r in rows if r[1] == s]), np.array([1 / r[4] for r in rows if r[1] == s])) for s in "ab"]
     plain = []
-    for _ in range(2000):
-        t = sum(a[rep.integers(0, len(a), len(a))].sum(0) for a in arr)
+    for _ in range(3000):
+        t = sum(a[rep.choice(len(a), len(a), p=p / p.sum())].sum(0) for a, p in arr)
         plain.append(t[0] / t[1])
-    assert one["mean"] == pytest.approx(truth, abs=0.01) and one["std"] == pytest.approx(np.std(plain), rel=0.2)
-    assert one["p5"] < one["mean"] < one["p95"]
-    assert one == estimates.bootstrap_share(df.repartition(7), "g", "s", "p", "m", "w", ["i"], 400, block=block).first()
+    error = np.std(plain) / np.sqrt(3000)
+    assert abs(one["mean"] - np.mean(plain)) < 6 * error and one["std"] == pytest.approx(np.std(plain), rel=0.06)
+    assert one["p5"] == pytest.approx(np.percentile(plain, 5), abs=8 * error) and one["p95"] == pytest.approx(np.percentile(plain, 95), abs=8 * error)
+    even = np.mean([t[0] / t[1] for t in (sum(a[rep.integers(0, len(a), len(a))].sum(0) for a, _ in arr) for _ in range(500))])
+    assert abs(even - np.mean(plain)) > 30 * error  # drawing without the weights is another thing
+    assert one == estimates.bootstrap_share(df.repartition(7), "g", "s", "p", "m", "w", ["i"], 3000, block=block).first()
+
+
+def test_bootstrap_draws_as_many_rows(spark):
+    """Every replicate draws exactly as many rows as there are, over all blocks."""
+    rows = [("g", "s", 1.0, float(i == 0) * 1e6, 1.0, i) for i in range(300)]
+    # The first row alone has anything missing: x = n / (n + 1e6 k) where it is drawn k times of n.
+    df = spark.createDataFrame(rows, "g string, s string, p double, m double, w double, i int")
+    one = estimates.bootstrap_share(df, "g", "s", "p", "m", "w", ["i"], 500, block=8).first()
+    assert one["p95"] == 1.0  # not drawn at all in a third of the replicates, and then nothing is missing
+    only = estimates.bootstrap_share(df.where("i = 0"), "g", "s", "p", "m", "w", ["i"], 50, block=8).first()
+    assert (only["mean"], only["std"]) == (pytest.approx(1 / 1_000_001), pytest.approx(0))
+
+
+def test_ramp_by_hand():
+    """The ramp shifts the curve within its width alone."""
+    p = [5.0, 1.0, 9.0, 2.0, 6.0, -3.0]
+    plain = lambda x: 9 / (1 + np.exp(-(x - 5)))
+    got = fitting.evaluate("sigmoid_ramp", np.array([1.0, 2.0, 4.0, 7.9, 8.0, 9.0]), p, 0, 10)
+    np.testing.assert_allclose(got, [plain(1), plain(2), plain(4 + 3 * 2 / 6), plain(7.9 + 3 * 5.9 / 6), plain(8), plain(9)])
+
+
+def test_long_histories_are_linear(spark):
+    """One key of 100,000 versions."""
+    rows = spark.range(100_000).selectExpr("0 as k", "cast(id / 2 as long) as version", "date_add(date'1900-01-01', cast(id / 2 as int)) as day")
+    out = temporal.with_valid_to(rows, "k", "version", "day")
+    assert out.where("valid_to = date_add(day, 1)").count() == 99_998 and out.where("valid_to = date'2099-12-31'").count() == 2
+
+
+def test_latest_before_by_hand(spark):
+    rng = random.Random(3)
+    left = [(i, rng.choice([1, 2, None]), rng.randrange(30)) for i in range(200)]
+    right = [(rng.choice([1, 2, 3, None]), rng.randrange(30), v, f"v{v}") for v in range(80)]
+    out = temporal.latest_before(spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, t int, version int, v string"), ["k"], "t", "t", "version", ["v"], ["i"])
+    want = {i: max((v for k2, t2, v, _ in right if k2 == k and t2 <= t), default=None) for i, k, t in left if k is not None}
+    assert {r["i"]: r["v"] for r in out.collect()} == {i: f"v{v}" for i, v in want.items() if v is not None}
 
 
 def test_curves_in_numpy_match_columns(spark):
@@ -163,7 +202,9 @@ def test_scored_rows_match_cells_and_unknown_is_null(spark):
     assert out[1]["segments_mean"] == pytest.approx(np.mean([np.exp(1 + 0.05 * i) for i in range(5)])) and out[2]["segments_mean"] is None and len(out) == 2
 
 
-def test_selection_probabilities(spark):
+@pytest.mark.parametrize("block", [1 << 20, 3])
+def test_selection_probabilities(spark, monkeypatch, block):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", block)
     rows = [("g", i, float(i)) for i in range(1, 11)]
     out = sampling.proportional(spark.createDataFrame(rows, "g string, i int, s double"), "g", "s", ["i"], 5000).groupBy("i").agg(F.count("*").alias("n"), F.first("selection").alias("p")).collect()
     for r in out:
@@ -187,6 +228,51 @@ def test_tiles_lose_no_pair(spark):
     assert got == {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]}
 
 
+def _rings(rng, n):
+    """Star-shaped rings, convex or not."""
+    out = []
+    for i in range(n):
+        x, y, k = rng.uniform(-3, 3), rng.uniform(40, 43), rng.randrange(3, 12)
+        turns = sorted(rng.uniform(0, 2 * np.pi) for _ in range(k))
+        ring = [(x + rng.uniform(0.2, 1) * float(np.cos(t)), y + rng.uniform(0.2, 1) * float(np.sin(t))) for t in turns]
+        out.append((i, [*ring, ring[0]]))
+    return out
+
+
+def _inside(x, y, ring):
+    return sum((ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay) for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True)) % 2 == 1
+
+
+def test_rings_by_hand(spark):
+    rng = random.Random(12)
+    rings = _rings(rng, 12)
+    polygons = spark.createDataFrame([(i, r) for i, r in rings], "unit int, ring array<struct<x: double, y: double>>")
+    points = [(i, rng.uniform(-4, 4), rng.uniform(39, 44)) for i in range(400)]
+    got = {(r["p"], r["unit"]) for r in spatial.points_to_polygons(spark.createDataFrame(points, "p int, x double, y double"), polygons, "p", "unit", 0.37).collect()}
+    assert {g for g in got if g[1] is not None} == {(p, i) for p, x, y in points for i, r in rings if _inside(x, y, r)} and {p for p, _ in got} == set(range(400))
+
+    def turn(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def meets(a, b, ring):
+        return _inside(*a, ring) or any(turn(c, d, a) * turn(c, d, b) <= 0 and turn(a, b, c) * turn(a, b, d) <= 0 for c, d in zip(ring[:-1], ring[1:], strict=True))
+
+    lines = [(i, x, y, x + rng.uniform(-1, 1), y + rng.uniform(-1, 1)) for i, x, y in points]
+    got = {(r["way"], r["unit"]) for r in spatial.segments_to_polygons(spark.createDataFrame(lines, "way int, x0 double, y0 double, x1 double, y1 double"), polygons, "way", "unit", 0.37).collect()}
+    assert {g for g in got if g[1] is not None} == {(w, i) for w, a, b, c, d in lines for i, r in rings if meets((a, b), (c, d), r)} and {w for w, _ in got} == set(range(400))
+
+    some = rings[:3]
+    pixels = {(r["unit"], r["row"], r["col"]) for r in spatial.rasterized(polygons.where("unit < 3").unionByName(polygons.where("unit = 0")), "unit").collect()}
+    want = set()
+    for i, ring in some:
+        xs, ys = [x for x, _ in ring], [y for _, y in ring]
+        for row in range(int((90 - max(ys)) * 120) - 1, int((90 - min(ys)) * 120) + 2):
+            for col in range(int((min(xs) + 180) * 120) - 1, int((max(xs) + 180) * 120) + 2):
+                if _inside((col + 0.5) / 120 - 180, 90 - (row + 0.5) / 120, ring):
+                    want.add((i, row, col))
+    assert pixels == want
+
+
 def test_null_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert df.select(scalars.nan_to_null("x").alias("x")).agg(F.sum("x"), F.count("x")).first()[:] == (1.0, 1)

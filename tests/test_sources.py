@@ -49,6 +49,19 @@ def test_batches_resume(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == list(range(10))
 
 
+def test_keys_without_rows_are_done(spark, tmp_path):
+    path, tried = str(tmp_path / "out"), []
+
+    def work(batch):
+        tried.extend(r["k"] for r in batch.collect())
+        return batch.where("k % 3 <> 0")
+
+    keys = spark.range(10).select(F.col("id").alias("k"))
+    assert files.process_in_batches(spark, keys, "k", path, work, size=4) == 3
+    assert sorted(tried) == list(range(10)) and spark.read.parquet(path).count() == 6
+    assert files.process_in_batches(spark, keys, "k", path, work, size=4) == 0
+
+
 def test_store_skips_files(spark, tmp_path):
     files.write_store(spark.range(1000), str(tmp_path / "s"), "id", 4)
     import pyarrow.parquet as pq

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlens.llm import mixing, neardup, pieces, suffixdedup, toxicity
-from growthlens.llm.tables import materialize
+from growthlens.llm.tables import discard, materialize
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows without an id, are told apart by their texts, and count after all others.
     """
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("said"), "text", F.struct(*others).alias("rest"))
-    several = rows.groupBy("id").agg(F.min("said").alias("least"), F.max("said").alias("most")).where("id is null or least < most").select(F.col("id").alias("several"))
-    late = F.xxhash64("id", "said").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    of_several = F.col("id").eqNullSafe(F.col("several"))
-    marked = rows.join(several, of_several, "left_semi").select(late.alias("key"), "text", "rest")
-    keyed = rows.join(several, of_several, "left_anti").select(F.col("id").alias("key"), "text", "rest").unionByName(marked)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*others).alias("rest"))
+    several = materialize(rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most")).where("id is null or least < most").select(F.col("id").alias("several")))
+    if several.isEmpty():
+        keyed = rows.withColumnRenamed("id", "key")
+    else:  # written down, as the operator reads it more than once
+        of_several = F.col("id").eqNullSafe(F.col("several"))
+        late = F.xxhash64("id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        keyed = rows.join(several, of_several, "left_anti").unionByName(rows.join(several, of_several, "left_semi").withColumn("id", late)).withColumnRenamed("id", "key")
+        keyed = materialize(keyed)
+    discard(several)
     ids = neardup.near_duplicates(keyed, percent=80, id_col="key").where("kept").select("key").distinct()
     # Rows of one key have one text; the least of their other columns stay.
     one = keyed.join(ids, "key", "left_semi").groupBy("key").agg(F.min("rest").alias("rest"), F.first("text").alias("text"))

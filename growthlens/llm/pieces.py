@@ -65,15 +65,16 @@ class Normalizer:
         none = np.zeros(0, np.int64)
         if not data:
             return b"", none, none
+        lead_end = 0
         if self.map.rules or self.squeeze:
-            text, start, end = self._by_rule(data)
+            text, start, end, lead_end = self._by_rule(data)
         else:
             text = np.frombuffer(data, np.uint8)
             start = np.arange(len(text))
             lead = np.flatnonzero((text & 0xC0) != 0x80)
             size = np.diff(np.append(lead, len(text)))
             start, end = np.repeat(lead, size), np.repeat(lead + size, size)
-        if not len(text):
+        if not len(text) and (self.squeeze or not self.prefix):
             return b"", none, none
         space = MARK if self.escape else b" "
         blank = text == 32
@@ -84,13 +85,14 @@ class Normalizer:
         start, end = np.repeat(start, width), np.repeat(end, width)
         if self.prefix:
             out = np.concatenate([np.frombuffer(space, np.uint8), out])
-            start, end = (np.concatenate([np.full(len(space), start[0]), x]) for x in (start, np.concatenate([end])))
-            end[: len(space)] = start[0]
+            start, end = (np.concatenate([np.full(len(space), lead_end), x]) for x in (start, end))
         return out.tobytes(), start, end
 
-    def _by_rule(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _by_rule(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Bytes, their source spans, and how many leading bytes of the source are blanks that squeezing drops."""
         out, start, end = bytearray(), [], []
-        at = 0
+        at = lead = 0
+        heading = self.squeeze
         while at < len(data):
             rule = self.map.longest(data, at)
             if rule is None:
@@ -99,16 +101,20 @@ class Normalizer:
                     size += 1
                 rule = size, data[at : at + size]
             size, made = rule
-            for b in made:
-                if self.squeeze and b == 32 and (not out or out[-1] == 32):
-                    continue
-                out.append(b)
-                start.append(at)
-                end.append(at + size)
+            heading = heading and made == b" "
+            lead += size if heading else 0
+            if self.squeeze and (not out or out[-1] == 32):
+                made = made.lstrip(b" ")
+            out += made
+            start += [at] * len(made)
+            end += [at + size] * len(made)
             at += size
-        while self.squeeze and out and out[-1] == 32:
-            out.pop(), start.pop(), end.pop()
-        return np.frombuffer(bytes(out), np.uint8), np.array(start, np.int64), np.array(end, np.int64)
+        while self.squeeze and out:  # a mark for blanks that stands at the end counts as one
+            blank = 1 if out[-1] == 32 else len(MARK) if self.escape and out.endswith(MARK) else 0
+            if not blank:
+                break
+            del out[-blank:], start[-blank:], end[-blank:]
+        return np.frombuffer(bytes(out), np.uint8), np.array(start, np.int64), np.array(end, np.int64), lead
 
 
 class Encoder:

@@ -95,3 +95,24 @@ def test_limits():
     assert neardup.limits(85) == (23, 12) and neardup.limits(80) == (27, 14)
     with pytest.raises(ValueError):
         neardup.limits(50)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_share_of_pairs_beyond_the_distance(percent):
+    """Pairs of just the similarity differ in more symbols than are searched no more often than the module says."""
+    import math
+
+    most, chunks = neardup.limits(percent)
+    p = 1 - percent / 100
+    beyond = sum(math.comb(neardup.SYMBOLS, k) * p**k * (1 - p) ** (neardup.SYMBOLS - k) for k in range(most + 1, neardup.SYMBOLS + 1))
+    assert beyond <= neardup.MISSED and most < 2 * chunks  # the pigeonhole: some chunk has one error at most
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(120):  # twenty shingles' worth of words a part; the second text shares `percent` of the union
+        both, own = 4 * percent, 4 * (100 - percent) // 2
+        common = [f"w{rng.randrange(10**9)}" for _ in range(both + 4)]
+        texts += [" ".join(common + [f"x{rng.randrange(10**9)}" for _ in range(own)]) for _ in (0, 1)]
+    found = [b for b in neardup._profiles(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])]))]
+    sig = np.concatenate([b.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, neardup.SYMBOLS) for b in found])
+    apart = (sig[::2] != sig[1::2]).sum(1)
+    assert apart.max() <= most and abs(apart.mean() / neardup.SYMBOLS - p) < 0.02

@@ -87,6 +87,29 @@ def test_character_map():
     assert data[slice(*spans[8])] == "é".encode() and data[slice(*spans[-1])] == "Ａ".encode()
 
 
+@pytest.mark.parametrize("rules", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
+def test_normalisation_matches_the_library(rules):
+    """Texts and places of their source, by the compiled character maps that come with the library."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rules)
+    spec = sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto()).normalizer_spec
+    normalize = pieces.Normalizer(spec)
+    rng = random.Random(5)
+    pool = ["a", "B", " ", "  ", "\t", "\u3000", "ＡＢ", "ﬁ", "①", "é", "e\u0301", "한", "ㅎㅏ", "ｶﾞ", "①", "½", "™", "\u200b", "\x01", "ß", "İ", "😀", "…", "ſ", "㌔", "ﷺ", "▁", "\u0345", "Å", "\ufeff"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))
+        want, places = library.Normalize(text, with_offsets=True)
+        out, start, _ = normalize(text.encode())
+        assert out.decode() == want, repr(text)
+        data = text.encode()
+        lead = [k for k, b in enumerate(out) if b & 0xC0 != 0x80]
+        assert [len(data[: start[k]].decode()) for k in lead] == places[: len(lead)], repr(text)
+
+
 def test_png_round_trip():
     for raw in (b"", b"x", bytes(range(256)) * 3, b"a" * 192):
         payload = media.pad(raw)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -31,14 +30,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", small)
 
 
+#: Removes what was shuffled for a query when that ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once, written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/growthlens-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # The rows are written, so what was shuffled for them can go; Spark drops the files of plans that are collected as garbage.
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/growthlens-{uuid.uuid4().hex}"
+    usual = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the rows are written, so their shuffle files can go
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, usual)
+    kept = spark.read.schema(df.schema).parquet(path)
     kept._growthlens_path = path
     return kept
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Standard deviations of normal stand-ins for the prior's wide tails.
 PRIOR = 2.5
+#: Metropolis steps for each draw.
+MOVES = 2
 VARIANTS = ("linear", "square", "top", "classes")
 
 
@@ -108,6 +110,15 @@ def coefficient_table(draws: DataFrame) -> DataFrame:
     return out.select("part", "coefficient", "mean", F.get("q", F.lit(0)).alias("p5"), F.get("q", F.lit(1)).alias("p95"))
 
 
+def chains_agree(draws: DataFrame, most: float = 1.1) -> DataFrame:
+    """For `draws(chain, draw, part, coefficient, b)`, means over countries in each draw: the number of rows and draws, the potential scale reduction, and whether that is below `most`."""
+    each = draws.groupBy("part", "coefficient", "chain", "draw").agg(F.avg("b").alias("b"), F.count("*").alias("rows"))
+    chain = each.groupBy("part", "coefficient", "chain").agg(F.avg("b").alias("m"), F.var_samp("b").alias("v"), F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    out = chain.groupBy("part", "coefficient").agg(F.sum("rows").alias("n"), F.sum("n").alias("draws"), F.avg("n").alias("length"), F.var_samp("m").alias("between"), F.avg("v").alias("within"))
+    scale = F.sqrt((F.col("length") - 1) / F.col("length") + F.col("between") / F.col("within"))
+    return out.select("part", "coefficient", "n", "draws", scale.alias("scale"), (scale < most).alias("mixed"))
+
+
 def _terms(variant: str, x: np.ndarray, top: np.ndarray, klass: np.ndarray) -> np.ndarray:
     one = np.ones_like(x)
     if variant == "linear":
@@ -124,34 +135,70 @@ def sample_chain(present: np.ndarray, total: np.ndarray, terms: np.ndarray, coun
 
     Countries are independent given the common mean and spread, so each has a step and an
     acceptance of its own; means and spreads have closed forms under normal and inverse
-    gamma priors. The first half adapts the steps and is dropped.
+    gamma priors. Steps follow the curvature of a country's likelihood and prior, so
+    coefficients that go together move together, and there are MOVES of them for each draw.
+    Then all countries are moved and stretched together with their common mean and spread,
+    one coefficient after the other: where points are few, the two would hold each other
+    fast. The first half adapts the steps and is dropped.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     k = terms.shape[1]
     b = np.zeros((2, countries, k))
     b[0, :, 0] = np.log(max(total.mean(), 0.1))
     mean, spread = b.mean(1), np.ones((2, k))
-    step = np.full((2, countries), 0.1)
+    step = np.full((2, countries), 1.0)
+    shift, stretch = np.full((2, k), 0.1), np.full((2, k), 0.3)
+    shape = np.tile(0.1 * np.eye(k), (2, countries, 1, 1))
+    squares = terms[:, :, None] * terms[:, None, :]
 
     def likelihood(part: int, c: np.ndarray) -> np.ndarray:
         eta = np.clip((terms * c[country]).sum(1), -20, 20)
         each = total * eta - np.exp(eta) if part == 0 else present * eta - total * np.logaddexp(0, eta)
         return np.bincount(country, each, countries)
 
+    def curvature(part: int, c: np.ndarray) -> np.ndarray:
+        """A factor of the covariance that the likelihood's curvature and the prior leave each country."""
+        eta = np.clip((terms * c[country]).sum(1), -20, 20)
+        weight = np.exp(eta) if part == 0 else total / (2 + 2 * np.cosh(eta))
+        h = np.zeros((countries, k, k))
+        np.add.at(h, country, weight[:, None, None] * squares)
+        return np.linalg.cholesky(np.linalg.inv(h + np.diag(1 / spread[part] ** 2)))
+
     now = [likelihood(p, b[p]) for p in (0, 1)]
     out = []
     for it in range(iterations):
         for p in (0, 1):
-            new = b[p] + step[p][:, None] * spread[p] * rng.standard_normal((countries, k))
-            then = likelihood(p, new)
-            prior = (((b[p] - mean[p]) ** 2 - (new - mean[p]) ** 2) / (2 * spread[p] ** 2)).sum(1)
-            taken = np.log(rng.random(countries)) < then - now[p] + prior
-            b[p][taken], now[p][taken] = new[taken], then[taken]
-            if it < iterations // 2:
-                step[p] *= np.exp((taken - 0.3) * 0.1)
-            precision = countries / spread[p] ** 2 + 1 / PRIOR**2
-            mean[p] = rng.normal(b[p].sum(0) / spread[p] ** 2 / precision, 1 / np.sqrt(precision))
-            spread[p] = np.sqrt((0.5 + ((b[p] - mean[p]) ** 2).sum(0) / 2) / rng.gamma(1 + countries / 2, size=k))
+            if it < iterations // 2 and it % 20 == 0:
+                shape[p] = curvature(p, b[p])
+            for _ in range(MOVES):
+                new = b[p] + step[p][:, None] * (shape[p] @ rng.standard_normal((countries, k, 1)))[:, :, 0]
+                then = likelihood(p, new)
+                prior = (((b[p] - mean[p]) ** 2 - (new - mean[p]) ** 2) / (2 * spread[p] ** 2)).sum(1)
+                taken = np.log(rng.random(countries)) < then - now[p] + prior
+                b[p][taken], now[p][taken] = new[taken], then[taken]
+                if it < iterations // 2:
+                    step[p] *= np.exp((taken - 0.3) * 0.1)
+                precision = countries / spread[p] ** 2 + 1 / PRIOR**2
+                mean[p] = rng.normal(b[p].sum(0) / spread[p] ** 2 / precision, 1 / np.sqrt(precision))
+                spread[p] = np.sqrt((0.5 + ((b[p] - mean[p]) ** 2).sum(0) / 2) / rng.gamma(1 + countries / 2, size=k))
+            for j in range(k):
+                for size, sort in ((shift, 0), (stretch, 1)):
+                    by = size[p, j] * rng.standard_normal()
+                    new, center, width = b[p].copy(), mean[p, j], spread[p, j]
+                    if sort == 0:
+                        center = center + by
+                        new[:, j] += by
+                        prior = (mean[p, j] ** 2 - center**2) / (2 * PRIOR**2)
+                    else:
+                        width = width * np.exp(by)
+                        new[:, j] = center + (new[:, j] - center) * np.exp(by)
+                        prior = -2 * by + 0.5 / spread[p, j] ** 2 - 0.5 / width**2
+                    then = likelihood(p, new)
+                    taken = np.log(rng.random()) < (then - now[p]).sum() + prior
+                    if taken:
+                        b[p], now[p], mean[p, j], spread[p, j] = new, then, center, width
+                    if it < iterations // 2:
+                        size[p, j] *= np.exp((taken - 0.4) * 0.1)
         if it >= iterations // 2 and it % thin == 0:
             out.append(b.copy())
     kept = np.stack(out)

@@ -15,8 +15,9 @@ BLOCK_ROWS = 1 << 20
 
 
 def uniform(seed: int, *parts: str) -> Column:
-    """A number in [0, 1) that hangs on its parts alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) that hangs on its parts alone: the first 52 bits of a digest of their text, as any engine has it."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts))), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / float(1 << 52)
 
 
 def proportional(df: DataFrame, group: str, size: str, order: Sequence[str], n: int, draw: Column | None = None, seed: int = 11) -> DataFrame:

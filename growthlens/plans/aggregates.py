@@ -112,6 +112,24 @@ def bootstrapped_shares(t: Tables) -> DataFrame:
     return E.bootstrap_share(points(t), "iso", "stratum", "present", "missing", "w", ["l_orderkey", "l_partkey", "l_linenumber"])
 
 
+@query(f"""WITH {_POINTS}, s AS (SELECT iso, stratum, CAST(count(*) AS DOUBLE) AS n, sum(1 / w) AS inv, sum(present) AS a, sum(present + missing) AS b FROM p GROUP BY 1, 2),
+r AS (SELECT iso, sum(n * a / inv) / sum(n * b / inv) AS share, sum(n * b / inv) AS whole FROM s GROUP BY 1),
+v AS (SELECT p.iso, p.stratum, sum(w * pow(present - share * (present + missing), 2)) AS sq, sum(present - share * (present + missing)) AS m FROM p JOIN r ON p.iso = r.iso GROUP BY 1, 2)
+SELECT r.iso, round(max(share), 6) AS share, round(sqrt(sum(n * (sq / inv - pow(m / inv, 2)))) / max(whole), 6) AS deviation, true AS mean_agrees, true AS std_agrees, true AS between FROM v JOIN s ON v.iso = s.iso AND v.stratum = s.stratum JOIN r ON v.iso = r.iso GROUP BY r.iso""")
+def bootstrap_against_theory(t: Tables) -> DataFrame:
+    """The share and deviation that drawing by 1 / weight leads to by formula, and whether the resamples agree: their mean to a sixth of the deviation, their deviation to an eighth."""
+    p, drawn = points(t), bootstrapped_shares(t)
+    both = F.col("present") + F.col("missing")
+    s = p.groupBy("iso", "stratum").agg(F.count("*").cast("double").alias("n"), F.sum(1 / F.col("w")).alias("inv"), F.sum("present").alias("a"), F.sum(both).alias("b"))
+    r = s.groupBy("iso").agg((F.sum(F.col("n") * F.col("a") / F.col("inv")) / F.sum(F.col("n") * F.col("b") / F.col("inv"))).alias("share"), F.sum(F.col("n") * F.col("b") / F.col("inv")).alias("whole"))
+    off = F.col("present") - F.col("share") * both
+    v = p.join(r, "iso").groupBy("iso", "stratum", "share", "whole").agg(F.sum(F.col("w") * off * off).alias("sq"), F.sum(off).alias("m"))
+    each = F.col("n") * (F.col("sq") / F.col("inv") - F.pow(F.col("m") / F.col("inv"), F.lit(2)))
+    known = v.join(s.select("iso", "stratum", "n", "inv"), ["iso", "stratum"]).groupBy("iso", "share", "whole").agg(F.sum(each).alias("e")).select("iso", "share", (F.sqrt("e") / F.col("whole")).alias("deviation"))
+    out = known.join(drawn, "iso")
+    return out.select("iso", F.round("share", 6).alias("share"), F.round("deviation", 6).alias("deviation"), (F.abs(F.col("mean") - F.col("share")) < F.col("deviation") / 6).alias("mean_agrees"), (F.abs(F.col("std") / F.col("deviation") - 1) < 0.125).alias("std_agrees"), ((F.col("p5") < F.col("share")) & (F.col("share") < F.col("p95"))).alias("between"))
+
+
 @query("""WITH u AS (SELECT c_nationkey AS id0, c_custkey % 9 AS id1, CAST(sum(floor(c_acctbal)) AS DOUBLE) AS len FROM customer GROUP BY 1, 2), f AS (SELECT *, CASE WHEN id1 % 4 <> 0 THEN len * 1.25 + 1000 END AS len_full FROM u)
 SELECT id0, round(least(1.0, sum(len) FILTER (WHERE len_full IS NOT NULL) / sum(len_full)), 8) AS share FROM f GROUP BY id0""")
 def added_up_share(t: Tables) -> DataFrame:

@@ -127,6 +127,32 @@ def fitted_curves(t: Tables) -> DataFrame:
     return fits.select("grp", "curve", "params", "mse", "success", "asymptote", S.from_axis("end_x").alias("finished"))
 
 
+_MONTHLY = """m AS (SELECT c_mktsegment AS grp, CAST(date_trunc('month', o_orderdate) AS DATE) AS day, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+f AS (SELECT grp, date_diff('day', DATE '1970-01-01', day) * 86400.0 / 1e9 AS x, CAST(sum(v) OVER (PARTITION BY grp ORDER BY day ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e6 AS y FROM m),
+g AS (SELECT grp, min(x) AS x0, max(x) AS x1, avg(x) AS xm, max(y) AS top FROM f GROUP BY 1),
+s AS (SELECT f.*, 0.0 AS line, top / (1 + exp(-10 / (x1 - x0) * (x - (x0 + x1) / 2))) AS sigmoid, top / 2 AS sigmoid_ramp, top * exp(-10 * exp(-6 * (x - {a}) / ({b} - {a}))) AS gompertz FROM f JOIN g USING (grp))"""
+
+
+@query(f"""WITH {_MONTHLY.format(a=_AXIS[0], b=_AXIS[1])}, n AS (SELECT grp, CAST(count(*) AS BIGINT) AS n, avg(pow(y - line, 2)) AS line, avg(pow(y - sigmoid, 2)) AS sigmoid, avg(pow(y - sigmoid_ramp, 2)) AS sigmoid_ramp, avg(pow(y - gompertz, 2)) AS gompertz FROM s GROUP BY 1),
+k AS (SELECT unnest({list(C.CURVES)}) AS curve)
+SELECT grp, curve, n, round(CASE curve WHEN 'line' THEN line WHEN 'sigmoid' THEN sigmoid WHEN 'sigmoid_ramp' THEN sigmoid_ramp WHEN 'gompertz' THEN gompertz END, 3) AS start_mse, true AS recomputed, true AS improved, true AS least FROM n, k""")
+def fitted_checks(t: Tables) -> DataFrame:
+    """What a fit must keep. The error at the plain curves' start; the error is that of the parameters, is not above that of the start, and no parameter a hundredth more or less lowers it by more than a fiftieth."""
+    series = cumulative(t).withColumn("y", F.col("y") * 1000)
+    fits = M.fit_curves(series, "grp", "x", "y", *_AXIS).where("params is not null").select("grp", "curve", "params", "mse")
+    ends = series.groupBy("grp").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.avg("x").alias("xm"), F.max("y").alias("top"))
+    starts = {"line": (F.lit(0.0), F.lit(0.0)), "sigmoid": ((F.col("x0") + F.col("x1")) / 2, 10 / (F.col("x1") - F.col("x0")), F.col("top")), "sigmoid_ramp": (F.col("x0"), F.lit(0.0), F.col("top"), F.col("xm"), F.lit(0.01), F.lit(0.01)), "gompertz": (F.col("top"), F.lit(10.0), F.lit(6.0))}
+    start = F.coalesce(*(F.when(F.col("curve") == name, F.array(*p)) for name, p in starts.items()))
+    near = F.flatten(F.transform(F.sequence(F.lit(0), F.size("params") - 1), lambda i: F.transform(F.array(F.lit(0.99), F.lit(1.01)), lambda by: F.transform("params", lambda v, k: F.when(k == i, v * by).otherwise(v)))))
+    tried = fits.join(ends, "grp").withColumn("start", start)
+    tried = tried.select("grp", "curve", "mse", F.explode(F.concat(F.array(F.struct(F.lit("own").alias("kind"), F.col("params"))), F.when(F.col("start").isNotNull(), F.array(F.struct(F.lit("start").alias("kind"), F.col("start").alias("params")))).otherwise(F.array()), F.transform(near, lambda p: F.struct(F.lit("near").alias("kind"), p.alias("params"))))).alias("v")).select("grp", "curve", "mse", "v.kind", "v.params")
+    value = M.by_curve(lambda c, p: c.value(F.col("x"), p, F.lit(_AXIS[0]), F.lit(_AXIS[1])))
+    errors = tried.join(series.select("grp", "x", "y"), "grp").groupBy("grp", "curve", "mse", "kind", "params").agg(F.count("*").alias("n"), C.mean_square_error("y", value).alias("e"))
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("e")))
+    out = errors.groupBy("grp", "curve", "mse").agg(F.max("n").alias("n"), of("own").alias("own"), of("start").alias("start"), of("near").alias("near"))
+    return out.select("grp", "curve", "n", F.round("start", 3).alias("start_mse"), (F.abs(F.col("own") - F.col("mse")) <= 1e-6 * F.col("mse")).alias("recomputed"), F.coalesce(F.col("mse") <= F.col("start"), F.lit(True)).alias("improved"), (F.col("near") >= 0.98 * F.col("mse")).alias("least"))
+
+
 @query()
 def fitted_choice(t: Tables) -> DataFrame:
     """The best curve by group and what it says of completeness."""

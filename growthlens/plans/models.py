@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from growthlens.operators import hierarchical as H
 from growthlens.operators import sampling as L
 from growthlens.plans.base import Tables, query
+from growthlens.plans.spatial import _PT, located
 
 _DRAWS = """d AS (SELECT i AS draw, c + 1 AS cid, 1.5 + (i * 7 % 50) / 100.0 + c / 50.0 AS t1, 0.3 - (i * 3 % 50) / 200.0 AS t2, -0.05 - (i % 10) / 400.0 AS t3, 0.2 + (i * 11 % 50) / 80.0 - c / 40.0 AS s1, 0.4 + (i * 13 % 50) / 150.0 AS s2, -0.1 + (i % 7) / 100.0 AS s3 FROM range(0, 50) a(i), range(0, 25) b(c))"""
 _CELLS = "x AS (SELECT c_custkey, c_nationkey AS id0, c_nationkey + 1 AS cid, (c_acctbal - 4500) / 3000 AS x FROM customer)"
@@ -107,13 +108,34 @@ def points_by_size(t: Tables) -> DataFrame:
     return out.select("g", "draw", "c_custkey", F.round("selection", 8).alias("selection"))
 
 
-@query()
-def sampled_points(t: Tables) -> DataFrame:
-    """Both strata, moved within their cells; rows only, as hashes differ by engine."""
-    from growthlens.plans.spatial import located
+def _uniform(seed: int, *parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 13) AS BIGINT) / {float(1 << 52)}"
+
+
+_DENSE = """p AS (SELECT *, greatest(ln(density), 0.0) AS m FROM (SELECT *, exp(c_acctbal / 2000) AS density, CAST(c_custkey % 7 + 1 AS DOUBLE) AS mass FROM c)),
+r AS (SELECT *, sum(m) OVER (PARTITION BY g ORDER BY c_custkey) AS hi, sum(m) OVER (PARTITION BY g) AS total FROM p WHERE m > 0),
+e AS (SELECT g, c_custkey, lon, lat, row_number() OVER (PARTITION BY g ORDER BY c_custkey) AS hi, count(*) OVER (PARTITION BY g) AS total FROM
+  (SELECT *, sum(mass) OVER w AS cum, row_number() OVER w AS nth, sum(mass) OVER (PARTITION BY g) AS whole FROM p WINDOW w AS (PARTITION BY g ORDER BY density DESC, c_custkey)) WHERE cum <= whole * 0.2 OR nth = 1)"""
 
+
+@query(f"""WITH c AS (SELECT c_custkey, c_nationkey AS g, c_acctbal, {_PT} FROM customer), {_DENSE},
+d AS (SELECT g, k, max(total) * {_uniform(11, 'g', 'k')} AS u FROM r, range(0, 25) t(k) GROUP BY g, k), f AS (SELECT g, k, max(total) * {_uniform(13, 'g', 'k')} AS u FROM e, range(0, 20) t(k) GROUP BY g, k),
+b AS (SELECT r.g, 'popWeighted' AS stratum, k, c_custkey, lon, lat, m / total * 25 AS selection FROM r JOIN d ON r.g = d.g AND u >= hi - m AND u < hi UNION ALL SELECT e.g, 'highDensity', k, c_custkey, lon, lat, 1.25 FROM e JOIN f ON e.g = f.g AND u >= hi - 1 AND u < hi)
+SELECT g AS c_nationkey, stratum, CAST(k AS INT) AS draw, c_custkey, round(lon + ({_uniform(29, 'c_custkey', 'k', 'stratum')} - 0.5) / 120, 8) AS lon, round(lat + ({_uniform(30, 'c_custkey', 'k', 'stratum')} - 0.5) / 120, 8) AS lat, round(selection, 8) AS selection FROM b""")
+def sampled_points(t: Tables) -> DataFrame:
+    """Both strata, moved within their cells."""
     c = located(t).join(t.customer.select("c_custkey", "c_acctbal"), "c_custkey").withColumn("density", F.exp(F.col("c_acctbal") / 2000)).withColumn("size", F.greatest(F.ln("density"), F.lit(0.0))).withColumn("mass", (F.col("c_custkey") % 7 + 1).cast("double"))
     wide = L.proportional(c, "c_nationkey", "size", ["c_custkey"], 25).withColumn("stratum", F.lit("popWeighted"))
     dense = L.dense_part(c, "c_nationkey", "density", "mass", ["c_custkey"], 0.2, 20).withColumn("stratum", F.lit("highDensity"))
     both = wide.unionByName(dense)
-    return L.jittered(both, "lon", "lat", 1 / 120, "c_custkey", "draw", "stratum").select("c_nationkey", "stratum", "draw", "c_custkey", "lon", "lat", "selection")
+    out = L.jittered(both, "lon", "lat", 1 / 120, "c_custkey", "draw", "stratum")
+    return out.select("c_nationkey", "stratum", "draw", "c_custkey", *(F.round(x, 8).alias(x) for x in ("lon", "lat", "selection")))
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT s_nationkey + 1 AS cid FROM supplier), p AS (SELECT part, coefficient FROM (VALUES ('total'), ('share')) a(part), range(0, 3) b(coefficient)), j AS (SELECT max(cid) AS j FROM c)
+SELECT part, CAST(coefficient AS INT) AS coefficient, CAST(j * 1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS draws, true AS mixed FROM p, j""")
+def sampled_model_checks(t: Tables) -> DataFrame:
+    """Draws of every country and chain, and chains that agree by the potential scale reduction of each coefficient."""
+    d = sampled_model(t)
+    long_ = d.select("draw", "cid", F.explode(F.array(F.struct(F.lit("total").alias("part"), F.col("total_b").alias("b")), F.struct(F.lit("share").alias("part"), F.col("share_b").alias("b")))).alias("m")).select((F.col("draw") % 10).alias("chain"), "draw", "m.part", F.posexplode("m.b").alias("coefficient", "b"))
+    return H.chains_agree(long_).select("part", "coefficient", "n", "draws", "mixed")

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlens.plans import aggregates, curves, history
+from growthlens.operators import hierarchical as H
+from growthlens.plans import aggregates, curves, history, models
 from growthlens.plans.base import Tables
 from growthlens.sources import files
 
@@ -24,12 +25,45 @@ def _fits(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
     return curves.fitted_choice(t)
 
 
-def _report(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
-    shares = aggregates.sample_shares(t).selectExpr("cast(iso as string) as grp", "share")
-    return read("fits").join(shares, "grp", "full")
+def _shares(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
+    return aggregates.sample_shares(t).join(aggregates.bootstrapped_shares(t), "iso", "left")
+
+
+def _draws(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
+    return models.sampled_model(t)
+
+
+def _coefficients(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
+    return H.coefficient_table(read("draws"))
 
 
-STAGES: dict[str, tuple[tuple[str, ...], Callable]] = {"history": ((), _history), "fits": (("history",), _fits), "report": (("history", "fits"), _report)}
+def _cells(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
+    return H.score_cells(models.cells(t), read("draws"))
+
+
+def _units(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
+    return H.roll_up(read("cells"), "id0")
+
+
+def _report(t: Tables, read: Callable[[str], DataFrame]) -> DataFrame:
+    """Units with what the sample and the model say of them, and the fits, side by side."""
+    fits = read("fits").select("grp", "curve", "asymptote", "share_fit")
+    sample = read("shares").selectExpr("cast(iso as string) as grp", "share", "p5 as sample_p5", "p95 as sample_p95")
+    model = read("units").selectExpr("cast(id0 as string) as grp", "share_mean as model_share", "share_p5 as model_p5", "share_p95 as model_p95")
+    return fits.join(sample, "grp", "full").join(model, "grp", "full")
+
+
+#: By name: the stages that must be there, in the order in which they are made, and the work.
+STAGES: dict[str, tuple[tuple[str, ...], Callable]] = {
+    "history": ((), _history),
+    "fits": (("history",), _fits),
+    "shares": ((), _shares),
+    "draws": ((), _draws),
+    "coefficients": (("draws",), _coefficients),
+    "cells": (("draws",), _cells),
+    "units": (("draws", "cells"), _units),
+    "report": (("history", "fits", "shares", "draws", "cells", "units"), _report),
+}
 
 
 def run(spark: SparkSession, data: str, out: str, stage: str, force: bool = False) -> list[str]:

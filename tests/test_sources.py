@@ -80,10 +80,12 @@ def test_reports(spark, tmp_path):
 
 def test_stages_run_once(spark, data, tmp_path):
     done = stages.run(spark, data, str(tmp_path), "report")
-    assert done == ["history", "fits", "report"]
+    assert done == ["history", "fits", "shares", "draws", "cells", "units", "report"]
     assert stages.run(spark, data, str(tmp_path), "report") == []
     assert stages.run(spark, data, str(tmp_path), "fits", force=True) == ["fits"]
-    assert spark.read.parquet(str(tmp_path / "report")).count() > 0
+    assert stages.run(spark, data, str(tmp_path), "coefficients") == ["coefficients"]
+    report = spark.read.parquet(str(tmp_path / "report"))
+    assert report.where("curve is not null").count() == 5 and report.where("model_share between model_p5 and model_p95").count() > 0 and report.where("grp = '-99'").count() == 1
 
 
 def test_increments_match_one_go(spark, data, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,13 +65,36 @@ def cumulative_cut(df: DataFrame, group: str, order: Sequence[Column], mass: str
     return df.withColumn("_cum", F.sum(mass).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_nth", F.row_number().over(by)).withColumn("_cut", total * share).where((F.col("_cum") <= F.col("_cut")) | (F.col("_nth") == 1)).drop("_cum", "_nth", "_cut")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed once, in the checkpoint folder; one of our own where a local master has none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="growthlens-"))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds 1, 2, ... in an order that must be total.
+
+    Rows are dealt out by ranges of the order, each range is numbered by itself, and the
+    counts of the ranges, a row each, say where it starts. So no task sees all rows.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written down, as ranges are drawn anew by each run of a plan.
+    dealt = _kept(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + nth).cast("long")).drop("_range", "_before")
+
+
 def dense_key(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds 1..J in order of the distinct keys; the ranked table has a row a key."""
-    keys = df.select(key).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)))
-    return df.join(keys, key)
+    """Adds 1..J in order of the distinct keys."""
+    return df.join(numbered(df.select(key).distinct(), [F.col(key).asc()], name), key)
 
 
 def pages(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     """Numbers rows of a report in pages; every row has one, the last page included."""
-    nth = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("page", F.floor((nth - 1) / size).cast("long")).withColumn("nth", nth.cast("long"))
+    return numbered(df, order, "nth").withColumn("page", F.floor((F.col("nth") - 1) / size).cast("long"))

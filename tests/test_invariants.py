@@ -83,6 +83,15 @@ def test_strict_lookup_fails(spark):
         rollup.strict_lookup(left, table, "k", "v").collect()
 
 
+def test_numbers_over_ranges(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 as k", "id % 3 as g").repartition(6)
+    got = rollup.numbered(df, [F.col("g").desc(), F.col("k")], "nth").orderBy("nth").collect()
+    assert [r["nth"] for r in got] == list(range(1, 5001))
+    assert [(r["g"], r["k"]) for r in got] == sorted(((r["g"], r["k"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert rollup.numbered(df.limit(0), [F.col("k").asc()], "nth").count() == 0
+    assert {(r["k"], r["d"]) for r in rollup.dense_key(spark.createDataFrame([(5,), (9,), (5,)], "k int"), "k", "d").collect()} == {(5, 1), (9, 2)}
+
+
 def test_region_totals_do_not_double(spark):
     rows = [("A", 1, 10), ("A", 2, 5), ("B", 1, 7), ("ALL", 1, 17), ("ALL", 2, 5)]
     out = rollup.by_region(spark.createDataFrame(rows, "u string, c int, v long"), spark.createDataFrame([("A", "x"), ("B", "x"), ("A", "y")], "u string, r string"), "u", "r", [], "c", "v")

@@ -36,7 +36,7 @@ from growthlens.llm.tables import discard, materialize, small_batches
 
 SYMBOLS = 64
 #: Similarity, in percent, from which texts are linked.
-PERCENT = 85
+PERCENT = 80
 #: Chance with which a pair of exactly the similarity may differ in more symbols than are searched.
 MISSED = 1 / 50_000
 

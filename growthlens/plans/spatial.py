@@ -17,8 +17,10 @@ def located(t: Tables) -> DataFrame:
     return t.customer.select(k, "c_nationkey", ((k * 37 % 900).cast("double") / 100 - 4.4567).alias("lon"), ((k * 53 % 700).cast("double") / 100 + 40.1234).alias("lat"))
 
 
-@query(f"""WITH p AS (SELECT c_custkey, c_nationkey, {_PT} FROM customer), l AS (SELECT c_nationkey, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
-SELECT c_nationkey, round(coalesce(sum(2 * 6371008.8 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))), 0), 2) AS metres FROM l GROUP BY 1""")
+@query(f"""WITH p AS (SELECT c_custkey, c_nationkey, {_PT} FROM customer), l AS (SELECT c_nationkey, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+r AS (SELECT c_nationkey, atan((1 - {G.FLATTENING!r}) * tan(radians(plat))) AS a, atan((1 - {G.FLATTENING!r}) * tan(radians(lat))) AS b, radians(lon - plon) AS turn FROM l),
+t AS (SELECT c_nationkey, 2 * asin(sqrt(pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin(turn / 2), 2))) AS s, pow(sin((a + b) / 2), 2) AS p, pow(sin((b - a) / 2), 2) AS q FROM r)
+SELECT c_nationkey, round(coalesce(sum({G.EQUATOR} * (s - {G.FLATTENING / 2!r} * CASE WHEN s > 0 THEN (s - sin(s)) * p * (1 - q) / pow(cos(s / 2), 2) + (s + sin(s)) * (1 - p) * q / pow(sin(s / 2), 2) ELSE 0 END)), 0), 2) AS metres FROM t GROUP BY 1""")
 def line_lengths(t: Tables) -> DataFrame:
     """G1, G2."""
     lines = located(t).groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "lon", "lat"))).alias("points"))

@@ -285,4 +285,11 @@ def test_rings_by_hand(spark):
 def test_null_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert df.select(scalars.nan_to_null("x").alias("x")).agg(F.sum("x"), F.count("x")).first()[:] == (1.0, 1)
-    assert spark.range(1).select(geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))).first()[0] == pytest.approx(111_195, rel=1e-3)
+
+
+def test_lengths_on_the_ellipsoid(spark):
+    """A degree along the equator, along a meridian at the equator and at 60 degrees, and from Flinders Peak to Buninyong, as published."""
+    lines = [([(0.0, 0.0), (1.0, 0.0)], 111_319.491), ([(10.0, -0.5), (10.0, 0.5)], 110_574.276), ([(10.0, 59.5), (10.0, 60.5)], 111_412.27), ([(144.42486789, -37.95103342), (143.92649553, -37.65282114)], 54_972.271), ([(5.0, 5.0), (5.0, 5.0)], 0.0), ([(1.0, 1.0)], 0.0), ([], 0.0)]
+    df = spark.createDataFrame([(i, [tuple(p) for p in points]) for i, (points, _) in enumerate(lines)], "i int, points array<struct<lon: double, lat: double>>")
+    for r in df.select("i", geo.line_length(F.col("points")).alias("m")).collect():
+        assert r["m"] == pytest.approx(lines[r["i"]][1], rel=1e-5, abs=1e-9)

@@ -419,7 +419,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int | None = Non
     # What several contexts share of a step is one text, as contexts are: counted once, and searched once.
     pieces = materialize(split.select("p.key", F.xxhash64("part", F.lit(1)).alias("s1"), F.xxhash64("part", F.lit(2)).alias("s2"), "c1", "c2", "p.off", "p.size").distinct())
     shared = materialize(pieces.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2", "off", "size")).alias("one")))
-    meet = shared.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    meet = materialize(shared.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     chosen = shared.join(meet, "key").select("key", "kinds", "s1", "s2", "one.*")
     bytes_of = texts.where(F.col("kinds") > many).select("c1", "c2", "bytes")
     far_apart = materialize(chosen.join(bytes_of, ["c1", "c2"]).select("key", "kinds", F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.expr("substring(bytes, off + 1, size)").alias("bytes")))
@@ -437,7 +437,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int | None = Non
     whole = classes.where("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
     partial = search(few).unionByName(of_pieces)
     covers = materialize(partial.unionByName(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
-    discard(classes, kinds, texts, pieces, shared, far_apart, windows, twice)
+    discard(classes, kinds, texts, pieces, shared, meet, far_apart, windows, twice)
     placed = members.select("doc", "nth", "start", "c1", "c2").join(covers, ["c1", "c2"]).select("doc", "nth", F.transform("covers", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))).alias("s"))
     spans = materialize(placed.groupBy("doc", "nth").agg(F.flatten(F.collect_set("s")).alias("spans")).withColumnRenamed("doc", "key"))
     discard(members, covers)

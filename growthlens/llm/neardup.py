@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
-from growthlens.llm.tables import discard, materialize, small_batches
+from growthlens.llm.tables import discard, materialize, measured_joins, small_batches
 
 SYMBOLS = 64
 #: Similarity, in percent, from which texts are linked.
@@ -281,6 +281,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     Ids are taken to be unique but for repeated rows.
     """
     small_batches(docs.sparkSession)
+    with measured_joins(docs.sparkSession):
+        profiles, reps, comp = _classes(docs, percent, id_col, text_col)
+    labelled = reps.join(comp.hint("merge"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id"))
+    return profiles.join(labelled, "set_hash", "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of rows, of the representatives of equal sets, and of the components of those that were compared."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = materialize(source.mapInArrow(_profiles, "id long, n_shingles long, set_hash binary, sig array<long>"))
     filled = profiles.where("n_shingles > 0 and id is not null")
@@ -333,6 +342,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
             discard(old, roots)
         discard(found, texts)
     discard(index, signed)
-    labelled = reps.join(comp, "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
-    own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id"))
-    return profiles.join(labelled, "set_hash", "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+    return profiles, reps, comp

@@ -116,3 +116,20 @@ def test_share_of_pairs_beyond_the_distance(percent):
     sig = np.concatenate([b.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, neardup.SYMBOLS) for b in found])
     apart = (sig[::2] != sig[1::2]).sum(1)
     assert apart.max() <= most and abs(apart.mean() / neardup.SYMBOLS - p) < 0.02
+
+
+def test_no_side_is_broadcast_by_an_estimate(spark, data, monkeypatch):
+    """Representatives, keys and texts grow with the corpus, and their compressed files say little of their rows."""
+    plans, written = [], neardup.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(neardup, "materialize", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    out = neardup.near_duplicates(spark.read.parquet(f"{data}/documents.parquet"))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None

@@ -84,7 +84,8 @@ def segment_pixels(segments: DataFrame, key: Sequence[str]) -> DataFrame:
 def line_means(segments: DataFrame, raster: DataFrame, key: Sequence[str], band: str, length: str, longest: float) -> DataFrame:
     """Mean of the raster under each line; null for a line of `longest` or more, and where the raster has nothing."""
     short = segments.where(F.col(length) < longest)
-    means = segment_pixels(short, key).join(raster.select("row", "col", band), ["row", "col"]).groupBy(*key).agg(F.avg(band).alias(band))
+    # A line's row becomes many pixels, which no estimate from the lines' files knows of: neither side is broadcast.
+    means = segment_pixels(short, key).join(raster.select("row", "col", band).hint("merge"), ["row", "col"]).groupBy(*key).agg(F.avg(band).alias(band))
     return segments.select(*key).distinct().join(means, list(key), "left")
 
 

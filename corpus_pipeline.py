@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlens.llm import mixing, neardup, pieces, suffixdedup, toxicity
-from growthlens.llm.tables import discard, materialize
+from growthlens.llm.tables import discard, materialize, measured_joins
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         of_several = F.col("id").eqNullSafe(F.col("several"))
         late = F.xxhash64("id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
         keyed = rows.join(several, of_several, "left_anti").unionByName(rows.join(several, of_several, "left_semi").withColumn("id", late)).withColumnRenamed("id", "key")
-        keyed = materialize(keyed)
+        with measured_joins(spark):
+            keyed = materialize(keyed)
     discard(several)
     ids = neardup.near_duplicates(keyed, percent=80, id_col="key").where("kept").select("key").distinct()
     # Rows of one key have one text; the least of their other columns stay.

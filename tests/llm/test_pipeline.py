@@ -95,3 +95,16 @@ def _starts(text):
     for c in text:
         yield at
         at += len(c.encode())
+
+
+def test_ids_of_several_texts_are_not_broadcast_by_an_estimate(spark, odd, monkeypatch):
+    plans, written = [], corpus_pipeline.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", watched)
+    monkeypatch.setattr(corpus_pipeline.neardup, "near_duplicates", lambda keyed, **_: keyed.withColumn("kept", F.lit(True)))
+    corpus_pipeline.without_near_duplicates(spark, odd, "")
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)

@@ -11,13 +11,14 @@ spans (runs of tokens of marginal 0.5 or more, in byte offsets) and, through a l
 curve over the largest marginal and the toxic mass, a score.
 
 The fit sees a bounded sample: SAMPLE_TOXIC and SAMPLE_CLEAN rows of texts of at most
-SAMPLE_TEXT bytes. Scoring sees every whole text. Null and empty texts have no tokens
+SAMPLE_TEXT bytes. It runs in one task, so the driver holds the model and no texts. Scoring sees every whole text. Null and empty texts have no tokens
 and get the score of a document without toxic mass. Without a label of each kind the
 score is 0 for every row. Equal texts get equal scores.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm import textops as T
-from growthlens.llm.tables import small_batches
+from growthlens.llm.tables import give_back, small_batches
 
 DIMENSIONS = 1 << 18
 #: Documented bounds of the labelled sample.
@@ -253,6 +254,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "x"])
 
 
+@T.tidy
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows; nothing without both kinds. The order of the rows does not matter."""
+    got = sorted(pair for batch in batches for pair in zip(batch.column("toxic").to_pylist(), batch.column("x").to_pylist(), strict=True))
+    toxic = np.array([kind == 1 for kind, _ in got], bool)
+    if toxic.any() and not toxic.all():
+        model = train([np.frombuffer(x, np.int32).reshape(-1, 1 + len(BEGINNINGS)) for _, x in got], toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -290,13 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = picks[0].unionByName(picks[1])  # bounded by its limits, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= sample_text)
     rows = texts.join(F.broadcast(sample), "id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
-    table = rows.mapInArrow(_features, "toxic int, x binary").toArrow()
-    got = sorted(zip(table.column("toxic").to_pylist(), table.column("x").to_pylist(), strict=True))
-    del table
-    toxic = np.array([kind == 1 for kind, _ in got], bool)
-    if not toxic.any() or toxic.all():
-        return None
-    return train([np.frombuffer(x, np.int32).reshape(-1, 1 + len(BEGINNINGS)) for _, x in got], toxic)
+    found = rows.mapInArrow(_features, "toxic int, x binary").repartition(1).mapInArrow(_trained, "model binary").collect()
+    give_back(docs.sparkSession)
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
